@@ -172,13 +172,22 @@ def score(
     )
 
 
-def trusted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", mark: str = "__trusted") -> DataFrame:
-    """``docs`` with a boolean ``mark``: labelled quality 1 and not toxic. Repeated labels add no rows."""
+#: Most ids of trusted documents that are broadcast (about 150 MB in memory); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def trusted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", mark: str = "__trusted", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` with a boolean ``mark``: labelled quality 1 and not toxic. Repeated labels add no rows.
+
+    The ids are counted first. Up to ``broadcast_ids`` of them are broadcast, so that the texts stay where they are.
+    """
     good = (
         labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").alias("__good"))
         .distinct()
     )
+    if good.count() <= broadcast_ids:
+        good = F.broadcast(good)
     return docs.join(good, docs[doc_id] == F.col("__good"), "left").withColumn(mark, F.col("__good").isNotNull()).drop("__good")
 
 
