@@ -99,3 +99,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in have:
         wanted = "_" + wanted
     return wanted
+
+
+#: Most rows of a side that is broadcast, of rows of a few dozen bytes.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which is counted first; otherwise as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
