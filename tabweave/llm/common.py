@@ -108,3 +108,20 @@ BROADCAST_ROWS = 2_000_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, which is counted first; otherwise as it is, for a join by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent.parent
+    name = f"{tempfile.mkdtemp(prefix='tabweave-ship-')}/{package.name}"
+    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+    _shipped.add(app)

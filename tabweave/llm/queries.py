@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as licenses
-from . import decontam, linededup, neardup, qualityrules, sharding, urlfilter
+from . import decontam, linededup, neardup, packing, qualityrules, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedupe(docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = qualityrules.trusted(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return qualityrules.score(docs, F.col("__trusted")).select(
@@ -77,6 +81,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_license_scan": op8_license_scan,
