@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as licenses
-from . import decontam, linededup, neardup, packing, qualityrules, sharding, urlfilter
+from . import decontam, langid, linededup, neardup, packing, qualityrules, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"], SHARDS).select("doc_id", "slot", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.fit(docs, fold != 2)
+    held = docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    return langid.predict(held, model, ["doc_id", "held_out"])
+
+
 # op3's rules.
 RULES: list[urlfilter.Rule] = [
     ("allow", "org", "/"),
@@ -79,6 +87,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
