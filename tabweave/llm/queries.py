@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as licenses
-from . import decontam, langid, linededup, neardup, packing, qualityrules, sharding, urlfilter
+from . import decontam, langid, linededup, neardup, packing, qualityclf, qualityrules, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = qualityclf.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return qualityclf.predict(docs.withColumn("held_out", F.coalesce(fold == 0, F.lit(False))), model, ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -94,6 +101,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_license_scan": op8_license_scan,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
