@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
     """``columns`` of ``docs`` with score and predicted (1 if the score is at least ``cutoff``)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
