@@ -229,7 +229,8 @@ def number_text(value: Column) -> Column:
     small = F.regexp_replace(small, r"0+$", "")
     mid = F.when((exponent >= 0) & (exponent < 15), F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", ""))
     sign = F.when(exponent < 0, "E-").otherwise("E+")
-    scientific = F.concat(mantissa, sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    size = F.abs(exponent).cast("string")
+    scientific = F.concat(mantissa, sign, F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
     finite = F.coalesce(plain, F.when(~F.contains(digits, F.lit("E")), digits), small, mid, scientific)
     return F.when(value.isNull(), None).when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity").otherwise(finite)
 
