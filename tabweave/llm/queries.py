@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as licenses
-from . import decontam, langid, linededup, neardup, packing, qualityclf, qualityrules, sharding, urlfilter
+from . import decontam, langid, linededup, neardup, oracles, packing, qualityclf, qualityrules, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,4 +105,10 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_sharding": oracles.op1(SHARDS),
+    "op3_url_filter": oracles.op3(RULES),
+    "op4_line_dedup": oracles.OP4,
+    "op7_decontamination": oracles.OP7,
+    "op10_near_duplicates": oracles.OP10,
+}
