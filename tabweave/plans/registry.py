@@ -6,8 +6,8 @@ question, so that the operator's result can be compared.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
-from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +39,9 @@ def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share, for written files that are read back."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file:{Path('/tmp/tabweave').absolute()}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file:{tempfile.gettempdir()}/tabweave"
     path = f"{base.rstrip('/')}/{uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
