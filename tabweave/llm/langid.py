@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-SAMPLE = 4000
+SAMPLE = 2000
 REJECT = 0.01
 UNKNOWN = "und"
 BITS, DIM = 18, 16

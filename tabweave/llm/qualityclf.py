@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-SAMPLE = 6000
+SAMPLE = 4000
 CUTOFF = 0.3
 
 # Character classes, in bytes.
@@ -155,17 +155,24 @@ class Model:
     def score(self, texts: list[str], block: int = 400_000) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out = np.empty(len(texts))
-        at = size = 0
-        for i in range(len(texts) + 1):
-            if i > at and (i == len(texts) or size + len(texts[i]) > block):
-                out[at:i] = self.quality(texts[at:i])
-                at, size = i, 0
-            if i < len(texts):
-                size += len(texts[i])
+        out = np.concatenate([self.quality(b) for b in _blocks(texts, block)]) if texts else np.empty(0)
         return 1 / (1 + np.exp(-(self.scale * _logit(out) + self.shift)))
 
 
+def _blocks(texts: list[str], size: int = 400_000) -> Iterator[list[str]]:
+    """The texts in blocks of about ``size`` characters, or of one longer text: what is in memory as arrays at once."""
+    block: list[str] = []
+    held = 0
+    for t in texts:
+        if block and held + len(t) > size:
+            yield block
+            block, held = [], 0
+        block.append(t)
+        held += len(t)
+    if block:
+        yield block
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -196,7 +203,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 60, l2: float = 1e-
     good = np.array(labels, float)
     if not len(good) or good.min() == good.max():
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 1.0, 0.0, float(good.mean()) if len(good) else 0.5)
-    x, _, n_lines = features(texts)
+    parts = [features(block) for block in _blocks(texts)]
+    x, n_lines = np.vstack([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     # both kinds weigh the same, and each document as the root of its lines
     share = np.where(good == 1, 0.5 / good.sum(), 0.5 / (1 - good).sum()) * len(good) / np.sqrt(n_lines)
     y = np.repeat(good, n_lines)
@@ -208,7 +216,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 60, l2: float = 1e-
     relabelled[(u == np.repeat(worst, n_lines)) & (np.repeat(good, n_lines) == 0)] = 0
     theta = _fit_field(x, relabelled, n_lines, share, theta, rounds, l2)
     model = Model(theta[:-4], theta[-4:].reshape(2, 2), 1.0, 0.0)
-    q = _logit(np.concatenate([model.quality(texts[i : i + 200]) for i in range(0, len(texts), 200)]))
+    q = _logit(np.concatenate([model.quality(block) for block in _blocks(texts)]))
     s, c = 1.0, 0.0
     for _ in range(50):  # Newton's steps of a logistic regression with a little ridge
         p = 1 / (1 + np.exp(-(s * q + c)))
