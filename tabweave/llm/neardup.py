@@ -7,9 +7,9 @@
 3. 42 bands of 6 bins make buckets: a pair at similarity 0.8 shares none with probability 3e-6.
 4. Each bucket's hub is its member that shares most buckets; edges go from the hub to the other members
    only. They are confirmed on full sets: 100 * intersection >= 80 * union.
-5. Components of confirmed edges. Members of one bucket that are still in different components, and not
-   yet compared, are compared in a second pass, so no link inside a bucket between components is lost;
-   pairs inside a component never are.
+5. Components of confirmed edges. Members of one bucket that are still in different components are compared in
+   a second pass, inside the join's condition, by their differences from the hub's set, which is exact and
+   short for near sets; so no link inside a bucket is lost, and only links are emitted.
 
 Defined cases: null, empty or blank texts have an empty set: linked with nothing, kept, component their own
 doc_id. Fewer than 4 words: the whole sequence is the one shingle. Repeated rows share a class. A null doc_id
@@ -93,72 +93,81 @@ def band_hashes(sig: Column, rows: int = ROWS, bands: int = BANDS) -> Column:
     return let(sig, lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, *[F.get(s, b * rows + k) for k in range(rows)])))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    enough = DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
-
-
 def _size_fits(n: Column, m: Column) -> Column:
     """Sets of such sizes can be similar enough."""
     return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
+def _similar(n: Column, m: Column, both: Column) -> Column:
+    return DEN * both >= NUM * (n + m - both)
+
+
+def _digest(s: Column) -> Column:
+    """128 bits that name a set."""
+    return let(F.array_sort(s), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(id, n, component): every document with its set's size and smallest reachable doc_id, a row for each row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession)
     words = spaced_words(ascii_lower(F.coalesce(F.col(text), F.lit(""))))
     base = docs.select(F.col(doc_id).alias("id"), words.alias("w"))
 
-    def digest(s: Column) -> Column:
-        return F.struct(
-            F.size(s).cast("long").alias("n"),
-            let(F.array_sort(s), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"))).alias("h"),
-            F.when(F.size(s) > 0, band_hashes(signature(s))).alias("bands"),
-        )
+    def described(s: Column) -> Column:
+        return F.struct(F.size(s).cast("long").alias("n"), _digest(s).alias("h"), F.when(F.size(s) > 0, band_hashes(signature(s))).alias("bands"))
 
-    table = scratch.write(base.select("id", let(shingle_set(F.col("w")), digest).alias("d")).select("id", "d.*"), "signatures")
+    table = scratch.write(base.select("id", let(shingle_set(F.col("w")), described).alias("d")).select("id", "d.*"), "signatures")
     linked = table.where("n > 0 and id is not null")
+    # a node is a class of equal sets
     classes = linked.groupBy("n", "h").agg(F.min("id").alias("rep"))
-    members = scratch.write(linked.select("id", "n", "h").join(classes, ["n", "h"]).select("id", "rep", "n"), "members")
-    reps = linked.join(classes.select(F.col("rep").alias("id"), "n", "h"), ["id", "n", "h"], "left_semi").dropDuplicates(["id", "n", "h"])
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h", "rep"), "classes")
+    reps = linked.join(classes.withColumnRenamed("rep", "id"), ["n", "h", "id"]).dropDuplicates(["node"])
 
-    # buckets of two members or more; a doc_id with several texts is one node that holds several sets
-    banded = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    # buckets of two nodes or more
+    banded = reps.select("node", "id", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = scratch.write(banded.join(shared, "bucket"), "buckets")
-    weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = buckets.join(weight, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("light"), "id", "n")).alias("hub"))
-    hubs = hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    stars = buckets.join(hubs, "bucket").where((F.col("id") != F.col("hub")) & _size_fits(F.col("n"), F.col("hub_n")))
-    stars = scratch.write(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-
-    ids = buckets.select("id").distinct()
-    sets = docs.where(F.col(doc_id).isNotNull()).join(small(ids), docs[doc_id] == ids["id"], "left_semi")
-    sets = scratch.write(sets.select(F.col(doc_id).alias("id"), shingle_set(words).alias("s")), "sets")
-
-    links = scratch.write(_confirm(stars, sets), "links")
-    found = scratch.write(connected_components(links, scratch), "found")
-
-    # second pass: members of one bucket in different components, neither of them its hub
-    placed = buckets.join(hubs, "bucket").where(F.col("id") != F.col("hub")).join(found, F.col("id") == F.col("node"), "left")
-    placed = placed.select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+    weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = buckets.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("light"), "node")).alias("hub"))
+    spokes = buckets.join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket").where("node <> hub")
+    spokes = scratch.write(spokes.select("bucket", "hub", "node", "n"), "spokes")
+
+    wanted = buckets.select("node", "id").distinct()
+    ids = wanted.select("id").distinct()
+    sets = docs.where(F.col(doc_id).isNotNull()).join(small(ids), docs[doc_id] == ids["id"], "left_semi").select(F.col(doc_id).alias("id"), shingle_set(words).alias("s"))
+    sets = sets.withColumns({"n": F.size("s").cast("long"), "h": _digest(F.col("s"))}).join(classes.join(wanted.select("node"), "node", "left_semi").select("node", "n", "h"), ["n", "h"])
+    sets = scratch.write(sets.select("node", "s").dropDuplicates(["node"]), "sets")
+
+    # stars: from hub to spokes, on full sets; what a spoke lacks of its hub and has besides tells its set
+    stars = spokes.select("hub", "node").distinct()
+    stars = stars.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("s").alias("hs")), "hub")
+    stars = stars.select("hub", "node", F.size("hs").alias("hub_n"), F.size("s").alias("own_n"), F.array_except("hs", "s").alias("lacks"), F.array_except("s", "hs").alias("extra"))
+    stars = scratch.write(stars.withColumn("link", _similar(F.col("hub_n"), F.col("own_n"), F.col("hub_n") - F.size("lacks"))), "stars")
+    found = scratch.write(connected_components(stars.where("link").select("hub", "node"), scratch).withColumnRenamed("component", "c"), "found")
+
+    # second pass: spokes of one hub and bucket in different components. Jaccard distance is a metric, so spokes whose
+    # distances from the hub differ by more than the limit can't be linked; the others are decided on their full sets
+    placed = spokes.join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    placed = scratch.write(placed.join(split, "bucket", "left_semi"), "placed")
+    placed = placed.join(split, "bucket", "left_semi").join(stars.select("hub", "node", "hub_n", "lacks", "extra"), ["hub", "node"])
+    distance = 1 - (F.col("hub_n") - F.size("lacks")) / (F.col("hub_n") + F.size("extra"))
+    placed = scratch.write(placed.select("bucket", "node", "n", "c", "hub_n", "lacks", "extra", distance.alias("distance")), "placed")
     x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & _size_fits(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.write(_confirm(rest.join(known, ["a", "b"], "left_anti"), sets), "more")
-    if more.limit(1).count():
-        found = scratch.write(connected_components(links.union(more), scratch), "found")
-
-    by_rep = members.join(found, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    near = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - NUM / DEN + 1e-9
+    lacking = F.size("x.lacks") + F.size("y.lacks") - F.size(F.array_intersect("x.lacks", "y.lacks"))
+    both = F.col("x.hub_n") - lacking + F.size(F.array_intersect("x.extra", "y.extra"))
+    fits = _size_fits(F.col("x.n"), F.col("y.n")) & near & _similar(F.col("x.n"), F.col("y.n"), both)
+    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & fits)
+    more = scratch.write(more.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "more")
+    merged = scratch.write(connected_components(more, scratch), "merged")
+
+    nodes = classes.select("node", "n", "h", "rep").join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    nodes = nodes.join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("component", "c")).select("n", "h", "rep", "c")
+    nodes = scratch.write(nodes, "nodes")
+    least = nodes.groupBy("c").agg(F.min("rep").alias("component"))
+    by_set = nodes.join(least, "c").select("n", "h", "component")
     alone = table.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return by_rep.union(alone)
+    return linked.select("id", "n", "h").join(by_set, ["n", "h"]).select("id", "n", "component").union(alone)
 
 
 def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
