@@ -60,12 +60,16 @@ def _number(cell: Column) -> Column:
 def integer(cell: Column, kind: str = "int64") -> Column:
     """Optional sign and digits with white space around; or a binary number that is integral. Null beyond the kind's range."""
     low, high = INT_RANGES[kind]
-    from_text = F.when(cell["text"].rlike(_INT), _strip(cell["text"]).try_cast("decimal(38,0)"))
+    # signed types of Spark are their own range check; the cell's parts are named once each, which keeps generated code small
+    signed = kind in ("int8", "int16", "int32", "int64")
+    wide = INT_TYPES[kind] if signed else "decimal(38,0)"
     num = _number(cell)
-    whole = F.when((num == F.floor(num)) & (F.abs(num) < 1e18), num.try_cast("decimal(38,0)"))
+    from_text = F.when(cell["text"].rlike(_INT), _strip(cell["text"]).try_cast(wide))
+    whole = F.when((num == F.floor(num)) & (F.abs(num) < 1e18), num.try_cast(wide))
     value = F.when(cell["text"].isNotNull() & (cell["type"] != "b"), from_text).otherwise(whole)
-    wide = "decimal(38,0)"
-    return F.when((value >= F.lit(str(low)).cast(wide)) & (value <= F.lit(str(high)).cast(wide)), value.try_cast(INT_TYPES[kind]))
+    if signed:
+        return value
+    return F.when(value.between(F.lit(str(low)).cast(wide), F.lit(str(high)).cast(wide)), value.try_cast(INT_TYPES[kind]))
 
 
 def double(cell: Column) -> Column:

@@ -111,10 +111,10 @@ def bind(header: Sequence[str | None], spec: RowSpec) -> dict[str, int]:
     return found
 
 
-def typed(cell: Column, c: ColumnSpec, row_number: Column, throw: bool) -> Column:
+def typed(cell: Column, c: ColumnSpec, row_number: Column, throw: bool, blank: Column | None = None) -> Column:
     """The column's value under its policies; errors name the column, the row and the raw value."""
     value = c.converter()(cell)
-    blank = cell.isNull()
+    blank = cell.isNull() if blank is None else blank
     if c.required or c.missing == "fail" or throw:
         where = F.concat(F.lit(f"column {c.name}, row "), row_number.cast("string"))
         unreadable = F.raise_error(F.concat(where, F.lit(": cannot read '"), F.coalesce(convert.string(cell), F.lit("")), F.lit("'")))
@@ -126,10 +126,11 @@ def typed(cell: Column, c: ColumnSpec, row_number: Column, throw: bool) -> Colum
     return F.coalesce(value, F.lit(c.default)) if c.missing == "default" else value
 
 
-def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = (), text_only: bool = False) -> DataFrame:
     """Typed rows of ``raw`` (row_idx from 0, cells: a dense array of cell structs), header row and rows before it left out.
 
     ``header``: the header's texts; read from ``raw`` if not given. Blank records (no cells, or empty ones only) are skipped.
+    ``text_only``: all cells are text, as in delimited files; the plan then drops what only other cells need.
     """
     if header is None and not spec.indexed:
         header = read_header(raw, spec.header_row)
@@ -139,7 +140,11 @@ def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = N
     out = [F.col(k) for k in keep]
     for c in spec.columns:
         cell = F.get(F.col("cells"), F.lit(places[c.name])) if c.name in places else F.lit(None).cast(convert.CELL)
-        out.append(typed(cell, c, F.col("row_idx") + 1, spec.throw_on_failure).alias(c.name))
+        blank = None
+        if text_only:
+            text = cell["text"]
+            cell, blank = F.struct(F.lit("s").alias("type"), text.alias("text"), F.lit(None).cast("double").alias("num")), text.isNull()
+        out.append(typed(cell, c, F.col("row_idx") + 1, spec.throw_on_failure, blank).alias(c.name))
     return data.select(*out)
 
 

@@ -69,7 +69,7 @@ _LINEITEM = (
 
 
 def _typed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spec.apply(text_raw(table(spark, sf_dir, "lineitem")), RowSpec(_LINEITEM))
+    return spec.apply(text_raw(table(spark, sf_dir, "lineitem")), RowSpec(_LINEITEM), text_only=True)
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem")
@@ -97,14 +97,14 @@ def fold_group_sum(spark, sf_dir):
 def fold_brc(spark, sf_dir):
     """Min, max, sum and count by key over parsed text."""
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    t = spec.apply(text_raw(e), RowSpec((ColumnSpec("event_type", index=0), ColumnSpec("value", "double", index=1))))
+    t = spec.apply(text_raw(e), RowSpec((ColumnSpec("event_type", index=0), ColumnSpec("value", "double", index=1))), text_only=True)
     return t.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
 @query("SELECT sum(length(c_name) + length(c_mktsegment)) AS chars, sum(CAST(trunc(c_acctbal) AS BIGINT)) AS whole, count(*) AS n FROM customer")
 def fold_checksum(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_name", "c_mktsegment", "c_acctbal")
-    t = spec.apply(text_raw(c), RowSpec((ColumnSpec("n", index=0), ColumnSpec("m", index=1), ColumnSpec("b", "double", index=2))))
+    t = spec.apply(text_raw(c), RowSpec((ColumnSpec("n", index=0), ColumnSpec("m", index=1), ColumnSpec("b", "double", index=2))), text_only=True)
     whole = F.when(F.col("b") < 0, F.ceil("b")).otherwise(F.floor("b"))
     return t.agg(F.sum(F.length("n") + F.length("m")).alias("chars"), F.sum(whole.cast("long")).alias("whole"), F.count(F.lit(1)).alias("n"))
 
@@ -128,7 +128,7 @@ def ordered_fold(spark, sf_dir):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def row_filter(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    t = spec.apply(text_raw(o), RowSpec((ColumnSpec("o_orderkey", "int64", index=0), ColumnSpec("s", index=1), ColumnSpec("o_totalprice", "double", index=2))))
+    t = spec.apply(text_raw(o), RowSpec((ColumnSpec("o_orderkey", "int64", index=0), ColumnSpec("s", index=1), ColumnSpec("o_totalprice", "double", index=2))), text_only=True)
     return dataflow.skip_rows(t, (F.col("s") == "F") & (F.col("o_totalprice") > 100000)).select("o_orderkey", "o_totalprice")
 
 
@@ -138,7 +138,7 @@ def required_and_default(spark, sf_dir):
         "p_partkey", F.when(F.col("p_size") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("p_size"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")).alias("p_brand")
     )
     cols = (ColumnSpec("p_partkey", "int64", index=0, required=True), ColumnSpec("p_size", "int32", index=1, missing="default", default=7), ColumnSpec("p_brand", index=2, missing="default", default="none"))
-    return spec.apply(text_raw(p), RowSpec(cols))
+    return spec.apply(text_raw(p), RowSpec(cols), text_only=True)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS nullable, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE value END AS defaulted FROM events")
@@ -146,7 +146,7 @@ def nullable_vs_default(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     mutated = F.when(F.col("event_id") % 8 == 0, "").when(F.col("event_id") % 4 == 0, "1d").otherwise(convert.number_text(F.col("value")))
     e = e.select("event_id", mutated.alias("a"), mutated.alias("b"))
-    return spec.apply(text_raw(e), RowSpec((ColumnSpec("event_id", "int64", index=0), ColumnSpec("nullable", "double", index=1), ColumnSpec("defaulted", "double", index=2, missing="default", default=0.0))))
+    return spec.apply(text_raw(e), RowSpec((ColumnSpec("event_id", "int64", index=0), ColumnSpec("nullable", "double", index=1), ColumnSpec("defaulted", "double", index=2, missing="default", default=0.0))), text_only=True)
 
 
 @query(
@@ -156,14 +156,14 @@ def bool_strict(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
     forms = F.array(*[F.lit(x) for x in ("TRUE", "false", "1", "0", "yes", " true")])
     d = d.withColumn("t", F.get(forms, (F.col("doc_id") % 6).cast("int")))
-    return spec.apply(text_raw(d), RowSpec((ColumnSpec("doc_id", "int64", index=0), ColumnSpec("flag", "bool", index=1))))
+    return spec.apply(text_raw(d), RowSpec((ColumnSpec("doc_id", "int64", index=0), ColumnSpec("flag", "bool", index=1))), text_only=True)
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents FROM lineitem")
 def decimal_exact(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     cols = (ColumnSpec("l_orderkey", "int64", index=0), ColumnSpec("l_linenumber", "int32", index=1), ColumnSpec("p", lambda c: convert.decimal(c, 18, 2), index=2))
-    t = spec.apply(text_raw(li), RowSpec(cols))
+    t = spec.apply(text_raw(li), RowSpec(cols), text_only=True)
     return t.select("l_orderkey", "l_linenumber", (F.col("p") * 100).cast("long").alias("cents"))
 
 
@@ -176,7 +176,7 @@ def enum_parse(spark, sf_dir):
     number = F.when(F.col("o_orderkey") % 7 == 0, "9").otherwise(F.substring("o_orderpriority", 1, 1))
     o = o.select("o_orderkey", F.lower("o_orderpriority").alias("a"), number.alias("b"))
     e = convert.enum(_PRIORITIES)
-    return spec.apply(text_raw(o), RowSpec((ColumnSpec("o_orderkey", "int64", index=0), ColumnSpec("by_name", e, index=1), ColumnSpec("by_value", e, index=2))))
+    return spec.apply(text_raw(o), RowSpec((ColumnSpec("o_orderkey", "int64", index=0), ColumnSpec("by_name", e, index=1), ColumnSpec("by_value", e, index=2))), text_only=True)
 
 
 @query(
@@ -197,7 +197,7 @@ def excel_serial_dates(spark, sf_dir):
 @query("SELECT event_id, CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS BIGINT) AS clock FROM events")
 def time_of_day(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm:ss.SSSSSS").alias("t"))
-    return spec.apply(text_raw(e), RowSpec((ColumnSpec("event_id", "int64", index=0), ColumnSpec("clock", "time", index=1))))
+    return spec.apply(text_raw(e), RowSpec((ColumnSpec("event_id", "int64", index=0), ColumnSpec("clock", "time", index=1))), text_only=True)
 
 
 @query("SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation")
@@ -228,7 +228,7 @@ def csv_roundtrip_documents(spark, sf_dir):
     path = scratch(spark)
     rendering.write_csv(d, path, header=False)
     cols = (ColumnSpec("doc_id", "int64", index=0), ColumnSpec("text", index=1), ColumnSpec("lang", index=2), ColumnSpec("source", index=3), ColumnSpec("n_chars", "int64", index=4))
-    return spec.apply(delimited.scan_raw(spark, path), RowSpec(cols))
+    return spec.apply(delimited.scan_raw(spark, path), RowSpec(cols), text_only=True)
 
 
 @query("SELECT * FROM (VALUES (';', '\"')) t(delimiter, quote)")
