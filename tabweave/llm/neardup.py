@@ -134,7 +134,9 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scra
 
     wanted = buckets.select("node", "id").distinct()
     ids = wanted.select("id").distinct()
-    sets = docs.where(F.col(doc_id).isNotNull()).join(small(ids), docs[doc_id] == ids["id"], "left_semi").select(F.col(doc_id).alias("id"), shingle_set(words).alias("s"))
+    sets = docs.where(F.col(doc_id).isNotNull()).join(small(ids), docs[doc_id] == ids["id"], "left_semi")
+    # written before the join by set, whose null filter would otherwise compute the sets of all documents
+    sets = scratch.write(sets.select(F.col(doc_id).alias("id"), shingle_set(words).alias("s")), "texts")
     sets = sets.withColumns({"n": F.size("s").cast("long"), "h": _digest(F.col("s"))}).join(classes.join(wanted.select("node"), "node", "left_semi").select("node", "n", "h"), ["n", "h"])
     sets = scratch.write(sets.select("node", "s").dropDuplicates(["node"]), "sets")
 
