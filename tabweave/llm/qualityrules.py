@@ -1,51 +1,62 @@
-"""Quality rules: base counts and a hashed n-gram log-likelihood ratio.
+"""Quality rules: base counts and an n-gram log-likelihood ratio.
 
-Two multinomials over hashed word unigrams and bigrams are estimated: one from a trusted target
-set, one from the raw corpus (all documents). A document's score is the mean, over its n-grams, of
-``log p_target - log p_raw``; documents under a fixed threshold are rejected, every one decided the
-same way (no sampling). The table of log ratios has a fixed number of buckets, so its size doesn't
-depend on the corpus.
+Two multinomials over word unigrams and bigrams are estimated: one from a trusted target set, one from the
+raw corpus (all documents). A document's score is the mean, over its n-grams, of ``log p_target - log p_raw``;
+documents under a threshold are rejected, every one decided the same way (no sampling). N-grams are told apart
+by 64-bit hashes and counted in a distributed table that grows with the corpus. An n-gram that the target
+lacks has the same ratio whatever its count (the floor), so only the others are looked up: the most frequent
+by broadcast (a constant number at most), the rest by a shuffle.
+
+The threshold lies midway between the floor, the score of a text without any n-gram of the target, and the
+score that 95 % of the target's own documents reach, each without its own occurrences; so it moves with the
+corpus's size.
 
 Defined cases: a null or blank text has no words, all counts 0, a null ratio, and fails the base rules.
 A null doc_id is scored like any other but never belongs to the target. With an empty target or an
-empty corpus every ratio is 0, and only the base rules reject. Repeated rows are scored alike, each
-counted in the corpus. Extra columns pass through ``apply``.
+empty corpus every ratio is 0, and only the base rules reject; so too if no document of the target has ten
+words. Repeated rows are scored alike, each counted in the corpus. Extra columns pass through ``apply``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, let, spaced_words
+from .common import BROADCAST_ROWS, Scratch, free_name, let, small, spaced_words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-BITS = 14
-#: Rejected: mean log ratio under this. Clean texts lie near 0, junk under it by far.
-THRESHOLD = -0.13
 #: Weight, in n-grams, of the raw distribution as the target's prior.
-PRIOR = float(1 << BITS)
+PRIOR = float(1 << 14)
+#: Share of the target's documents that may score under the upper end of the threshold's interval.
+LOW_SHARE = 0.05
+#: N-grams of a text of ten words; shorter ones fail the base rules and don't set the threshold.
+LEAST_NGRAMS = 19
+#: N-grams that make at least one in so many of all occurrences are broadcast: so many at most, whatever the corpus.
+HOT = BROADCAST_ROWS
 
 
-def ngram_buckets(words: Column, bits: int = BITS) -> Column:
-    """Buckets of all unigrams and bigrams of an array of words."""
-    mask = F.lit((1 << bits) - 1).cast("long")
+def ngram_hashes(words: Column) -> Column:
+    """64-bit hashes of all unigrams and bigrams of an array of words."""
 
     def both(h: Column) -> Column:
-        uni = F.transform(h, lambda x: x.bitwiseAND(mask).cast("int"))
         bi = F.when(
             F.size(h) >= 2,
-            F.transform(
-                F.sequence(F.lit(0), F.size(h) - 2),
-                lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)).bitwiseAND(mask).cast("int"),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-        return F.concat(uni, bi)
+            F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))),
+        ).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(h, bi)
 
     return let(F.transform(words, lambda x: F.xxhash64(x)), both)
 
 
+def ngram_buckets(words: Column, bits: int) -> Column:
+    """The hashes' last ``bits`` bits."""
+    return F.transform(ngram_hashes(words), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int"))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Number of words that lie in a window of ``window`` words found twice or more in the text.
 
@@ -96,73 +107,105 @@ def duplicate_lines(text: Column) -> Column:
     )
 
 
-def log_ratios(docs: DataFrame, target: Column, text: str = "text", bits: int = BITS, prior: float = PRIOR) -> DataFrame:
-    """One row: ``outside`` and ``inside``, arrays of 2**bits log ratios in units of 1e-6 (sums are exact).
-
-    ``target``: true for documents of the target. Every n-gram is scored without one occurrence, its
-    own: taken from the raw counts, and for a document of the target (``inside``) from the target's too.
-    Otherwise rare n-grams would speak for the documents of the target and against all others.
-    """
-    counted = (
-        docs.select(F.when(target, 1).otherwise(0).alias("t"), F.explode(ngram_buckets(spaced_words(F.col(text)), bits)).alias("b"))
-        .groupBy("b")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("hit"))
-    )
-    n = 1 << bits
-    dense = docs.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").na.fill(0, ["raw", "hit"])
-    # a constant number of rows, n, whatever the corpus
-    one = dense.agg(
-        F.array_sort(F.collect_list(F.struct("b", "raw", "hit"))).alias("all"),
-        F.sum("raw").alias("n_raw"),
-        F.sum("hit").alias("n_hit"),
-    )
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends, where this Spark can do so."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
-    def table(own: int) -> Column:
-        def ratio(x: Column) -> Column:
-            p_raw = (F.greatest(x["raw"] - 1, F.lit(0)) + 1.0) / (F.col("n_raw") + float(n))
-            p_hit = (F.greatest(x["hit"] - own, F.lit(0)) + prior * p_raw) / (F.col("n_hit") + prior)
-            return F.round(F.when(F.col("n_hit") == 0, F.lit(0.0)).otherwise(F.log(p_hit / p_raw)) * 1e6).cast("int")
 
-        return F.transform("all", ratio)
+def log_ratios(docs: DataFrame, target: Column, text: str, bits: int | None, prior: float, scratch: Scratch) -> DataFrame:
+    """(k, total, n): for each distinct text and mark of the target, the sum of its n-grams' log ratios in units
+    of 1e-6 (sums are exact) and their number, both times the text's copies.
 
-    return one.select(table(0).alias("outside"), table(1).alias("inside"))
+    ``target``: true for documents of the target. Every n-gram is scored without one occurrence, its own: taken
+    from the raw counts, and for a document of the target from the target's too. Otherwise rare n-grams would
+    speak for the documents of the target and against all others. Also sets ``floor`` on the result.
+    """
+    words = spaced_words(F.col(text))
+    grams = ngram_hashes(words) if bits is None else ngram_buckets(words, bits).cast("array<bigint>")
+    # the last bit of a text's key tells whether it is of the target
+    key = F.xxhash64(text).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(target, 1).otherwise(0).cast("long"))
+    rows = docs.select(key.alias("k"), F.explode(grams).alias("g"))
+    own = F.col("k").bitwiseAND(F.lit(1).cast("long"))
+
+    seen = Observation()
+    counted = rows.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum(own).alias("hit"))
+    counted = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("raw").alias("n_raw"), F.sum("hit").alias("n_hit"))
+    # the only occurrence of an n-gram is scored without it: the floor
+    table = scratch.write(counted.where("raw >= 2 and (hit >= 1 or raw >= 64)"), "ngrams")
+    n, n_raw, n_hit = (1 << bits if bits is not None and k == "n" else seen.get[k] or 0 for k in ("n", "n_raw", "n_hit"))
+    floor = round(math.log(prior / (n_hit + prior)) * 1e6)
+
+    def over(own: int) -> Column:
+        p_raw = F.col("raw") / F.lit(float(n_raw + n))
+        p_hit = (F.greatest(F.col("hit") - own, F.lit(0)) + prior * p_raw) / (n_hit + prior)
+        return F.when(F.col("hit") > own, F.round(F.log(p_hit / p_raw) * 1e6).cast("long") - floor).otherwise(F.lit(0).cast("long"))
+
+    over_floor = F.sum(F.coalesce(F.when(own == 1, F.col("inside")).otherwise(F.col("outside")), F.lit(0)))
+    ratios = table.select("g", "raw", over(0).alias("outside"), over(1).alias("inside"))
+    hot = F.broadcast(ratios.where(F.col("raw") * HOT >= n_raw).drop("raw"))
+    cold = ratios.where((F.col("raw") * HOT < n_raw) & (F.col("outside") != 0)).drop("raw")
+    found = rows.join(hot, "g", "left").groupBy("k").agg(over_floor.alias("s"), F.count(F.lit(1)).alias("n"))
+    if n_raw > 2 * HOT:  # else every n-gram with two occurrences is hot
+        rest = rows.join(hot.select("g"), "g", "left_anti").join(cold, "g").groupBy("k").agg(over_floor.alias("s"), F.lit(0).cast("long").alias("n"))
+        found = found.union(rest).groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    out = scratch.write(found.select("k", (F.col("s") + F.col("n") * F.lit(floor)).alias("total"), "n"), "totals")
+    scratch.drop(table)
+    out.floor = floor / 1e6
+    return out
+
+
+def derived_threshold(totals: DataFrame) -> float:
+    """Midway between the floor and the least score of all but ``LOW_SHARE`` of the target's documents, to a thousandth of the floor."""
+    if not totals.floor:
+        return 0.0
+    width = -totals.floor / 1000
+    own = totals.where((F.col("k").bitwiseAND(F.lit(1).cast("long")) == 1) & (F.col("n") >= LEAST_NGRAMS))
+    # bins of ratios: as many as the range of logarithms holds, whatever the corpus
+    bins = own.groupBy(F.floor(F.col("total") / F.col("n") / 1e6 / width).alias("b")).count().orderBy("b").collect()
+    left = LOW_SHARE * sum(r["count"] for r in bins)
+    for r in bins:
+        left -= r["count"]
+        if left < 0:
+            return (r["b"] * width + totals.floor) / 2
+    return -math.inf
 
 
 def score(
     docs: DataFrame,
     target: Column,
     text: str = "text",
-    bits: int = BITS,
+    bits: int | None = None,
     prior: float = PRIOR,
-    threshold: float = THRESHOLD,
+    threshold: float | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
     ``target`` marks the trusted documents by a boolean column expression over ``docs``. Columns of
-    ``docs`` with one of these names must be renamed by the caller (``apply`` does it).
+    ``docs`` with one of these names must be renamed by the caller (``apply`` does it). ``bits``: tell n-grams
+    apart by so many bits of their hashes only. ``threshold``: in place of the derived one.
     """
-    # 2**bits numbers, whatever the corpus; the folded literal reaches the executors with the tasks
-    tables = log_ratios(docs, target, text, bits, prior).first()
-    outside, inside = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<int>") for t in tables)
+    with shuffles_dropped(docs.sparkSession):
+        totals = log_ratios(docs, target, text, bits, prior, scratch or Scratch(docs.sparkSession))
+        threshold = derived_threshold(totals) if threshold is None else threshold
+    ratios = totals.select(F.col("k").alias("__k"), (F.col("total") / F.col("n") / 1e6).alias("llr"))
     w, col = F.col("__words"), F.col(text)
-
-    def total(b: Column, ratios: Column) -> Column:
-        return F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.get(ratios, x))
-
-    counted = docs.withColumn("__words", spaced_words(col)).withColumns(
+    key = F.xxhash64(col).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(target, 1).otherwise(0).cast("long"))
+    joined = docs.withColumn("__key", key).join(small(ratios), F.col("__key") == F.col("__k"), "left").drop("__k", "__key")
+    counted = joined.withColumn("__words", spaced_words(col)).withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.coalesce(F.regexp_count(col, F.lit(SYMBOLS)), F.lit(0)).cast("long"),
             "n_dup_lines": duplicate_lines(col),
             "n_repeat_words": repeated_words(w),
-            "llr": let(
-                ngram_buckets(w, bits),
-                lambda b: F.when(
-                    F.size(b) > 0,
-                    F.when(target, total(b, inside)).otherwise(total(b, outside)) / F.size(b) / 1e6,
-                ),
-            ),
         }
     )
     return (

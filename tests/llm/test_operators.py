@@ -302,6 +302,30 @@ def test_ratio_against_brute_force(spark):
         assert got[i]["kept"] == (i % 2 == 1)
 
 
+def test_ratio_rejects_junk_at_every_size(spark):
+    """Distinct junk n-grams, however many, don't come to look like the target's; clean texts stay."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    clean = lambda: " ".join(rng.choice(words) for _ in range(60))
+    junk = lambda: " ".join(f"x{rng.getrandbits(40)}$$$" for _ in range(60))
+    for n in (100, 1500):
+        docs = [(i, junk() if i % 3 == 0 else clean()) for i in range(n)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("t", F.col("doc_id") % 3 == 1)
+        rows = qualityrules.score(df, F.col("t")).collect()
+        assert len(rows) == n and all(not r["base_failed"] and r["kept"] == (r["doc_id"] % 3 != 0) for r in rows)
+
+
+def test_rare_ngrams_by_shuffle(spark, monkeypatch):
+    """Without broadcast n-grams the scores are the same; copies of a text don't change its mean."""
+    docs = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 25))) for i in range(20)] + [(3, " ".join(f"w{(3 * j) % 17}" for j in range(1, 25)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("t", F.col("doc_id") % 2 == 1)
+    want = sorted((r["doc_id"], r["llr"], r["kept"]) for r in qualityrules.score(df, F.col("t")).collect())
+    for hot in (1, 40):
+        monkeypatch.setattr(qualityrules, "HOT", hot)
+        assert sorted((r["doc_id"], r["llr"], r["kept"]) for r in qualityrules.score(df, F.col("t")).collect()) == want
+    assert len(want) == len(docs)
+
+
 def test_quality_cases(spark, odd, empty, labels):
     out = qualityrules.apply(odd.withColumn("KEPT", F.lit(1)), labels)
     assert out.columns == [*odd.columns, "KEPT"] and {r["doc_id"] for r in out.collect()} <= {5, 6, 7, 8}
