@@ -1,8 +1,8 @@
 """License scan: base phrases, and a positional index of the rare words of licence templates.
 
 Document frequencies of all template words are counted over the whole corpus; each template is indexed
-by its rarest words with their positions. A document's rarest indexed words are looked up, their
-postings give alignments (template, start), and an alignment is verified word by word: it counts if
+by its rarest words, and the rarest of its key phrase, with their positions. All indexed words of a document
+are looked up (the index is a constant of the code), their postings give alignments (template, start), and an alignment is verified word by word: it counts if
 at least half of the template's words stand in place and all of its mandatory key phrase does.
 
 Defined cases: a null or empty text has no words: counts 0, positions null, labels empty, score 0.
@@ -47,8 +47,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
-#: Indexed words of a template, and indexed words of a document that are looked up.
-RARE_WORDS, LOOKED_UP = 4, 8
+#: Indexed words of a template, besides the rarest of its key phrase: a verified alignment holds that one.
+RARE_WORDS = 4
 #: Share of a template's words that must stand in place.
 SHARE = 0.5
 
@@ -99,9 +99,9 @@ def base_hits(words: Column) -> Column:
 def template_hits(words: Column, frequencies: dict[str, int]) -> Column:
     """Array of (label, share) for every verified alignment of a template."""
     parsed = [(label, _words(notice), _words(key)) for label, notice, key in TEMPLATES]
-    index = [(w, t, p) for t, (_, ws, _) in enumerate(parsed) for w in sorted(set(ws), key=lambda w: (frequencies[w], w))[:RARE_WORDS] for p in (i for i, x in enumerate(ws) if x == w)]
-    rare = sorted({w for w, _, _ in index}, key=lambda w: (frequencies[w], w))
-    rare_lit = F.array(*[F.lit(w) for w in rare])
+    rarest = lambda ws, n: sorted(set(ws), key=lambda w: (frequencies[w], w))[:n]
+    index = [(w, t, p) for t, (_, ws, key) in enumerate(parsed) for w in sorted({*rarest(ws, RARE_WORDS), *rarest(key, 1)}) for p in (i for i, x in enumerate(ws) if x == w)]
+    rare_lit = F.array(*[F.lit(w) for w in sorted({w for w, _, _ in index})])
     index_lit = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in index])
     templates = F.array(
         *[
@@ -135,7 +135,7 @@ def template_hits(words: Column, frequencies: dict[str, int]) -> Column:
     return let(
         words,
         lambda w: let(
-            F.slice(F.array_intersect(rare_lit, w), 1, LOOKED_UP),
+            F.array_intersect(rare_lit, w),
             lambda looked: F.when(F.size(looked) > 0, aligned(w, looked)).otherwise(none),
         ),
     )

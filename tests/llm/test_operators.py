@@ -403,6 +403,17 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_every_template_is_looked_up(spark):
+    """A text with several licences gets all of them, whichever words are rare."""
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    some = [n for label, n, _ in licenses.TEMPLATES if label in ("apache-2.0", "bsd", "mpl-2.0")]
+    common = [(k, " ".join(x for n in some for x in n.split()[k % 3 :: 3])) for k in range(3, 30)]  # makes some words frequent
+    df = spark.createDataFrame([(1, ". ".join(some)), (2, "\n".join(notices)), *common], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(df).collect()}
+    assert got[1] >= {"apache-2.0", "bsd", "mpl-2.0"}
+    assert got[2] >= {label for label, _, _ in licenses.TEMPLATES}
+
+
 def test_license_base_against_brute_force(spark, documents):
     rows = queries.op8_license_scan(spark, SF).collect()
     for r in rows:
