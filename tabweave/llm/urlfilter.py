@@ -22,7 +22,8 @@ from .components import connected_components
 Rule = tuple[str, str, str]
 
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'>\s]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'>\s]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'>\s]+)"""
+NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
 
 
 def _rest(url: Column) -> Column:
@@ -77,16 +78,30 @@ def resolve(link: Column, base: Column) -> Column:
     )
 
 
+def unescape(link: Column) -> Column:
+    """``link`` with its numeric character references and those of ``NAMED`` decoded, each once."""
+
+    def decoded(x: Column) -> Column:
+        number = F.when(F.lower(x).startswith("&#x"), F.regexp_extract(x, "[0-9A-Fa-f]+", 0)).otherwise(F.hex(F.regexp_extract(x, "[0-9]+", 0).cast("long")))
+        out = F.when(x.startswith("&#"), F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32"))
+        for name, c in NAMED.items():
+            out = out.when(x == f"&{name};", F.lit(c))
+        return out.otherwise(x)
+
+    parts = F.regexp_extract_all(link, F.lit(r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]+;|[^&]+|&"), F.lit(0))
+    return F.when(link.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(link)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target): the canonical and refresh links that pages declare, as whole urls."""
     u, h = F.col(url), F.coalesce(F.col(html), F.lit(""))
-    links = F.array(F.regexp_extract(h, CANONICAL, 1), F.regexp_extract(h, REFRESH, 1))
+    links = F.concat(*[F.regexp_extract_all(h, F.lit(x), F.lit(1)) for x in (CANONICAL, REFRESH)])
     # the two substring tests spare most pages the patterns
     return (
         pages.where(u.isNotNull() & (h.contains("canonical") | h.rlike("(?i)canonical|refresh")))
         .select(u.alias("source"), F.explode(links).alias("link"))
         .where("link <> ''")
-        .select("source", resolve(F.col("link"), F.col("source")).alias("target"))
+        .select("source", resolve(unescape(F.col("link")), F.col("source")).alias("target"))
         .where("target is not null")
     )
 

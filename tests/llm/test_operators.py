@@ -162,6 +162,20 @@ def test_url_aliases(spark):
     assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("allow", "alias"), 4: ("allow", "alias"), 5: ("block", "alias"), 6: ("allow", "alias"), 7: ("block", "alias"), 8: ("block", "rule")}
 
 
+def test_all_declared_links(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/1", link("http://z.net/1") + link("http://z.net/2")),
+            (2, "http://a.net/2", """<meta http-equiv="refresh" content="0;url='https://z.net/3'">"""),
+            (3, "http://a.net/3", link("http://z.net/?a=1&amp;b=2&#38;c&#x3D;3&d=&amp;lt;")),
+        ],
+        "page_id long, url string, html string",
+    )
+    got = sorted((r["source"], r["target"]) for r in urlfilter.page_links(pages).collect())
+    assert got == [("http://a.net/1", "http://z.net/1"), ("http://a.net/1", "http://z.net/2"), ("http://a.net/2", "https://z.net/3"), ("http://a.net/3", "http://z.net/?a=1&b=2&c=3&d=&lt;")]
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
 def test_components(spark, edges):
