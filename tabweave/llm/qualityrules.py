@@ -1,20 +1,26 @@
 """Quality rules: base counts and an n-gram log-likelihood ratio.
 
-Two multinomials over word unigrams and bigrams are estimated: one from a trusted target set, one from the
-raw corpus (all documents). A document's score is the mean, over its n-grams, of ``log p_target - log p_raw``;
-documents under a threshold are rejected, every one decided the same way (no sampling). N-grams are told apart
-by 64-bit hashes and counted in a distributed table that grows with the corpus. An n-gram that the target
-lacks has the same ratio whatever its count (the floor), so only the others are looked up: the most frequent
-by broadcast (a constant number at most), the rest by a shuffle.
-
-The threshold lies midway between the floor, the score of a text without any n-gram of the target, and the
+Two multinomials over word unigrams and bigrams, told apart by 64-bit hashes, are estimated: one from a trusted
+target set, one from the raw corpus (all documents). A document's score is the mean, over its n-grams, of
+``log p_target - log p_raw``; documents under a threshold are rejected, every one decided the same way.
+
+1. All n-grams of all documents are counted in buckets of their hashes, about ``BUCKETS`` times the root of
+   their number. A bucket under the cutoff (the root of all occurrences, over ``1 / CUT``) can't hold an n-gram over it.
+2. The n-grams of the other buckets are counted one by one, in the corpus and in the target. Those that reach the
+   cutoff and occur in the target make the table; it grows with the corpus, about as the root of its size, while
+   the share of text that it covers rises. An n-gram that isn't in it counts as one that the target lacks:
+   the floor, the same whatever its raw count.
+3. The table's most frequent entries are broadcast (a constant number at most), any others joined by a shuffle.
+
+The threshold lies midway between the floor, the score of a text without any n-gram of the table, and the
 score that 95 % of the target's own documents reach, each without its own occurrences; so it moves with the
 corpus's size.
 
 Defined cases: a null or blank text has no words, all counts 0, a null ratio, and fails the base rules.
 A null doc_id is scored like any other but never belongs to the target. With an empty target or an
 empty corpus every ratio is 0, and only the base rules reject; so too if no document of the target has ten
-words. Repeated rows are scored alike, each counted in the corpus. Extra columns pass through ``apply``.
+words. Repeated rows are scored alike, each counted in the corpus. Texts of any length are used whole. ``score`` replaces
+input columns named like an output; ``apply`` keeps all input columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, free_name, let, small, spaced_words
@@ -37,6 +43,8 @@ LOW_SHARE = 0.05
 LEAST_NGRAMS = 19
 #: N-grams that make at least one in so many of all occurrences are broadcast: so many at most, whatever the corpus.
 HOT = BROADCAST_ROWS
+#: Buckets of the first count and the cutoff, both times the root of the number of n-gram occurrences.
+BUCKETS, CUT = 32, 1 / 16
 
 
 def ngram_hashes(words: Column) -> Column:
@@ -52,9 +60,14 @@ def ngram_hashes(words: Column) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), both)
 
 
-def ngram_buckets(words: Column, bits: int) -> Column:
-    """The hashes' last ``bits`` bits."""
-    return F.transform(ngram_hashes(words), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int"))
+def cutoff(occurrences: int) -> int:
+    """Least raw count of an n-gram in the table: 2 up to a thousand occurrences, 115 at 3 million, 16,000 at 6e10."""
+    return max(2, int(math.isqrt(occurrences) * CUT))
+
+
+def text_key(text: str, target: Column) -> Column:
+    """A text's 64-bit key; its last bit tells whether the text is of the target."""
+    return F.xxhash64(text).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(target, 1).otherwise(0).cast("long"))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -119,44 +132,44 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def log_ratios(docs: DataFrame, target: Column, text: str, bits: int | None, prior: float, scratch: Scratch) -> DataFrame:
+def log_ratios(docs: DataFrame, target: Column, text: str, prior: float, scratch: Scratch) -> DataFrame:
     """(k, total, n): for each distinct text and mark of the target, the sum of its n-grams' log ratios in units
     of 1e-6 (sums are exact) and their number, both times the text's copies.
 
-    ``target``: true for documents of the target. Every n-gram is scored without one occurrence, its own: taken
-    from the raw counts, and for a document of the target from the target's too. Otherwise rare n-grams would
-    speak for the documents of the target and against all others. Also sets ``floor`` on the result.
+    ``target``: true for documents of the target. Every n-gram of such a document is scored without one occurrence
+    in the target, its own. Otherwise rare n-grams would speak for the documents of the target and against all
+    others. Also sets ``floor`` on the result.
     """
-    words = spaced_words(F.col(text))
-    grams = ngram_hashes(words) if bits is None else ngram_buckets(words, bits).cast("array<bigint>")
-    # the last bit of a text's key tells whether it is of the target
-    key = F.xxhash64(text).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(target, 1).otherwise(0).cast("long"))
-    rows = docs.select(key.alias("k"), F.explode(grams).alias("g"))
+    rows = docs.select(text_key(text, target).alias("k"), F.explode(ngram_hashes(spaced_words(F.col(text)))).alias("g"))
     own = F.col("k").bitwiseAND(F.lit(1).cast("long"))
 
-    seen = Observation()
-    counted = rows.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum(own).alias("hit"))
-    counted = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("raw").alias("n_raw"), F.sum("hit").alias("n_hit"))
-    # the only occurrence of an n-gram is scored without it: the floor
-    table = scratch.write(counted.where("raw >= 2 and (hit >= 1 or raw >= 64)"), "ngrams")
-    n, n_raw, n_hit = (1 << bits if bits is not None and k == "n" else seen.get[k] or 0 for k in ("n", "n_raw", "n_hit"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bucket = F.pmod("g", F.lit(max(64, BUCKETS * math.isqrt(size // 3)))).cast("int")  # an n-gram takes about three bytes of text
+    buckets = scratch.write(rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum(own).alias("hit")), "buckets")
+    n_raw, n_hit = (x or 0 for x in buckets.agg(F.sum("raw"), F.sum("hit")).first())
+    least = cutoff(n_raw)
     floor = round(math.log(prior / (n_hit + prior)) * 1e6)
 
+    heavy = small(buckets.where((F.col("raw") >= least) & (F.col("hit") >= 1)).select("b"))
+    counted = rows.withColumn("b", bucket).join(heavy, "b", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum(own).alias("hit"))
+    table = scratch.write(counted.where((F.col("raw") >= least) & (F.col("hit") >= 1)), "ngrams")
+
     def over(own: int) -> Column:
-        p_raw = F.col("raw") / F.lit(float(n_raw + n))
-        p_hit = (F.greatest(F.col("hit") - own, F.lit(0)) + prior * p_raw) / (n_hit + prior)
+        p_raw = F.col("raw") / F.lit(float(n_raw))
+        p_hit = (F.col("hit") - own + prior * p_raw) / (n_hit + prior)
         return F.when(F.col("hit") > own, F.round(F.log(p_hit / p_raw) * 1e6).cast("long") - floor).otherwise(F.lit(0).cast("long"))
 
     over_floor = F.sum(F.coalesce(F.when(own == 1, F.col("inside")).otherwise(F.col("outside")), F.lit(0)))
     ratios = table.select("g", "raw", over(0).alias("outside"), over(1).alias("inside"))
     hot = F.broadcast(ratios.where(F.col("raw") * HOT >= n_raw).drop("raw"))
-    cold = ratios.where((F.col("raw") * HOT < n_raw) & (F.col("outside") != 0)).drop("raw")
+    cold = ratios.where(F.col("raw") * HOT < n_raw).drop("raw")
     found = rows.join(hot, "g", "left").groupBy("k").agg(over_floor.alias("s"), F.count(F.lit(1)).alias("n"))
-    if n_raw > 2 * HOT:  # else every n-gram with two occurrences is hot
+    if cold.limit(1).count():
         rest = rows.join(hot.select("g"), "g", "left_anti").join(cold, "g").groupBy("k").agg(over_floor.alias("s"), F.lit(0).cast("long").alias("n"))
         found = found.union(rest).groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     out = scratch.write(found.select("k", (F.col("s") + F.col("n") * F.lit(floor)).alias("total"), "n"), "totals")
-    scratch.drop(table)
+    for t in (buckets, table):
+        scratch.drop(t)
     out.floor = floor / 1e6
     return out
 
@@ -177,29 +190,19 @@ def derived_threshold(totals: DataFrame) -> float:
     return -math.inf
 
 
-def score(
-    docs: DataFrame,
-    target: Column,
-    text: str = "text",
-    bits: int | None = None,
-    prior: float = PRIOR,
-    threshold: float | None = None,
-    scratch: Scratch | None = None,
-) -> DataFrame:
+def score(docs: DataFrame, target: Column, text: str = "text", prior: float = PRIOR, threshold: float | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
-    ``target`` marks the trusted documents by a boolean column expression over ``docs``. Columns of
-    ``docs`` with one of these names must be renamed by the caller (``apply`` does it). ``bits``: tell n-grams
-    apart by so many bits of their hashes only. ``threshold``: in place of the derived one.
+    ``target`` marks the trusted documents by a boolean column expression over ``docs``. ``threshold``: in place of
+    the derived one.
     """
     with shuffles_dropped(docs.sparkSession):
-        totals = log_ratios(docs, target, text, bits, prior, scratch or Scratch(docs.sparkSession))
+        totals = log_ratios(docs, target, text, prior, scratch or Scratch(docs.sparkSession))
         threshold = derived_threshold(totals) if threshold is None else threshold
     ratios = totals.select(F.col("k").alias("__k"), (F.col("total") / F.col("n") / 1e6).alias("llr"))
     w, col = F.col("__words"), F.col(text)
-    key = F.xxhash64(col).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(target, 1).otherwise(0).cast("long"))
-    joined = docs.withColumn("__key", key).join(small(ratios), F.col("__key") == F.col("__k"), "left").drop("__k", "__key")
-    counted = joined.withColumn("__words", spaced_words(col)).withColumns(
+    # counted before the join, so that a join by shuffle moves no text that the caller doesn't select
+    counted = docs.drop("llr").withColumns({"__key": text_key(text, target), "__words": spaced_words(col)}).withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
@@ -210,6 +213,8 @@ def score(
     )
     return (
         counted.drop("__words")
+        .join(small(ratios), F.col("__key") == F.col("__k"), "left")
+        .drop("__k", "__key")
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
     )

@@ -299,21 +299,28 @@ def test_base_counts(spark, odd, documents):
 
 
 def test_ratio_against_brute_force(spark):
-    """The tables and means by their definition, with Spark's own hash of the n-grams."""
+    """The tables and means by their definition, with Spark's own hash of the n-grams; at the larger size the cutoff is over 2."""
     good, bad = "a quiet river runs below the old stone bridge at dawn", "buy $$$ now *** buy $$$ now *** cheap ### pills %%% fast"
-    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(12)], "doc_id long, text string").withColumn("t", F.col("doc_id") % 2 == 1)
-    got = {r["doc_id"]: r for r in qualityrules.score(docs, F.col("t"), bits=8, prior=16.0).collect()}
-    buckets = {r["doc_id"]: r["b"] for r in docs.select("doc_id", qualityrules.ngram_buckets(F.split("text", " "), 8).alias("b")).collect()}
-    raw, hit = Counter(x for b in buckets.values() for x in b), Counter(x for i, b in buckets.items() if i % 2 for x in b)
-    n_raw, n_hit = sum(raw.values()), sum(hit.values())
-
-    def ratio(x, own):
-        p = (max(raw[x] - 1, 0) + 1) / (n_raw + 256)
-        return np.log((max(hit[x] - own, 0) + 16 * p) / (n_hit + 16) / p)
-
-    for i, b in buckets.items():
-        assert got[i]["llr"] == pytest.approx(np.mean([ratio(x, i % 2) for x in b]), abs=1e-5)
-        assert got[i]["kept"] == (i % 2 == 1)
+    rng = random.Random(5)
+    mixed = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(40)) for _ in range(300)]
+    for texts in ([good if i % 2 else bad for i in range(12)], mixed):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.col("doc_id") % 2 == 1)
+        got = {r["doc_id"]: r for r in qualityrules.score(docs, F.col("t"), prior=16.0).collect()}
+        grams = {r["doc_id"]: r["g"] for r in docs.select("doc_id", qualityrules.ngram_hashes(F.split("text", " ")).alias("g")).collect()}
+        raw, hit = Counter(x for g in grams.values() for x in g), Counter(x for i, g in grams.items() if i % 2 for x in g)
+        n_raw, n_hit = sum(raw.values()), sum(hit.values())
+        least = qualityrules.cutoff(n_raw)
+        assert least == (2 if texts is not mixed else 9)
+
+        def ratio(x, own):
+            h = hit[x] - own if raw[x] >= least else 0
+            p = raw[x] / n_raw
+            return np.log((h + 16 * p) / (n_hit + 16) / p) if h > 0 else np.log(16 / (n_hit + 16))
+
+        for i, g in grams.items():
+            assert got[i]["llr"] == pytest.approx(np.mean([ratio(x, i % 2) for x in g]), abs=1e-5)
+            if texts is not mixed:
+                assert got[i]["kept"] == (i % 2 == 1)
 
 
 def test_ratio_rejects_junk_at_every_size(spark):
