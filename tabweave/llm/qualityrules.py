@@ -1,19 +1,17 @@
 """Quality rules: base counts and an n-gram log-likelihood ratio.
 
-Two multinomials over word unigrams and bigrams, told apart by 64-bit hashes, are estimated: one from a trusted
-target set, one from the raw corpus (all documents). A document's score is the mean, over its n-grams, of
+Two multinomials over word unigrams and bigrams, told apart by hashes, are estimated: one from a trusted target
+set, one from the raw corpus (all documents). A document's score is the mean, over its n-grams, of
 ``log p_target - log p_raw``; documents under a threshold are rejected, every one decided the same way.
 
-1. All n-grams of all documents are counted in buckets of their hashes, about ``BUCKETS`` times the root of
-   their number. A bucket under the cutoff (the root of all occurrences, over ``1 / CUT``) can't hold an n-gram over it.
-2. The n-grams of the other buckets are counted one by one, in the corpus and in the target. Those that reach the
-   cutoff and occur in the target make the table; it grows with the corpus, about as the root of its size, while
-   the share of text that it covers rises. An n-gram that isn't in it counts as one that the target lacks:
-   the floor, the same whatever its raw count.
-3. The table's most frequent entries are broadcast (a constant number at most), any others joined by a shuffle.
+All n-grams of all documents are counted, in ``BUCKETS`` times as many buckets as the cube root of their number:
+the table grows with the corpus, yet even 100 TB of text make under eight million buckets, two numbers each, so
+that every task holds it whole. As an n-gram's frequency falls with its rank, the buckets of frequent n-grams
+stand out and are few. A bucket with less than twice the mean has rare n-grams only, of all kinds alike: they count as ones that the
+target lacks, and have the floor. So distinct junk, however much, doesn't come to look like the target's text.
 
-The threshold lies midway between the floor, the score of a text without any n-gram of the table, and the
-score that 95 % of the target's own documents reach, each without its own occurrences; so it moves with the
+The threshold lies midway between the score to expect of a text of n-grams never seen (the mean over all buckets, as
+such n-grams fall into them evenly) and the score that 95 % of the target's own documents reach, each without its own occurrences; so it moves with the
 corpus's size.
 
 Defined cases: a null or blank text has no words, all counts 0, a null ratio, and fails the base rules.
@@ -26,12 +24,13 @@ input columns named like an output; ``apply`` keeps all input columns, whatever
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, free_name, let, small, spaced_words
+from .common import free_name, let, spaced_words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -41,10 +40,8 @@ PRIOR = float(1 << 14)
 LOW_SHARE = 0.05
 #: N-grams of a text of ten words; shorter ones fail the base rules and don't set the threshold.
 LEAST_NGRAMS = 19
-#: N-grams that make at least one in so many of all occurrences are broadcast: so many at most, whatever the corpus.
-HOT = BROADCAST_ROWS
-#: Buckets of the first count and the cutoff, both times the root of the number of n-gram occurrences.
-BUCKETS, CUT = 32, 1 / 16
+#: Buckets, times the cube root of the number of n-gram occurrences; and the cutoff, in mean loads.
+BUCKETS, CUT = 128, 2
 
 
 def ngram_hashes(words: Column) -> Column:
@@ -60,14 +57,13 @@ def ngram_hashes(words: Column) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), both)
 
 
-def cutoff(occurrences: int) -> int:
-    """Least raw count of an n-gram in the table: 2 up to a thousand occurrences, 115 at 3 million, 16,000 at 6e10."""
-    return max(2, int(math.isqrt(occurrences) * CUT))
+def n_buckets(size: int) -> int:
+    """Buckets for texts of ``size`` bytes, at about three bytes for each n-gram: 1,280 for a thousand n-grams, 128,000 for 10**9."""
+    return max(64, round(BUCKETS * (size / 3) ** (1 / 3)))
 
 
-def text_key(text: str, target: Column) -> Column:
-    """A text's 64-bit key; its last bit tells whether the text is of the target."""
-    return F.xxhash64(text).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(target, 1).otherwise(0).cast("long"))
+def ngram_buckets(words: Column, n: int) -> Column:
+    return F.transform(ngram_hashes(words), lambda x: F.pmod(x, F.lit(n).cast("long")).cast("int"))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -120,101 +116,95 @@ def duplicate_lines(text: Column) -> Column:
     )
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Within, a query's shuffle files go when it ends, where this Spark can do so."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+@dataclass
+class Ratios:
+    """Log ratios of the buckets over the floor, in units of 1e-6 (sums are exact), for documents outside the target and inside."""
 
+    n: int
+    floor: int
+    unseen: float  # score to expect of a text of n-grams never seen
+    outside: Column
+    inside: Column
 
-def log_ratios(docs: DataFrame, target: Column, text: str, prior: float, scratch: Scratch) -> DataFrame:
-    """(k, total, n): for each distinct text and mark of the target, the sum of its n-grams' log ratios in units
-    of 1e-6 (sums are exact) and their number, both times the text's copies.
+    def mean(self, words: Column, target: Column) -> Column:
+        """A text's score; null without words."""
 
-    ``target``: true for documents of the target. Every n-gram of such a document is scored without one occurrence
-    in the target, its own. Otherwise rare n-grams would speak for the documents of the target and against all
-    others. Also sets ``floor`` on the result.
+        def total(b: Column, ratios: Column) -> Column:
+            return F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.get(ratios, x))
+
+        def score(b: Column) -> Column:
+            return F.when(F.size(b) > 0, (F.when(target, total(b, self.inside)).otherwise(total(b, self.outside)) / F.size(b) + self.floor) / 1e6)
+
+        return let(ngram_buckets(words, self.n), score)
+
+
+def log_ratios(docs: DataFrame, target: Column, text: str, prior: float) -> Ratios:
+    """Count the n-grams of all documents. ``target``: true for documents of the target.
+
+    Every n-gram of a document of the target is scored without one occurrence in the target, its own. Otherwise rare
+    n-grams would speak for the documents of the target and against all others.
     """
-    rows = docs.select(text_key(text, target).alias("k"), F.explode(ngram_hashes(spaced_words(F.col(text)))).alias("g"))
-    own = F.col("k").bitwiseAND(F.lit(1).cast("long"))
-
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bucket = F.pmod("g", F.lit(max(64, BUCKETS * math.isqrt(size // 3)))).cast("int")  # an n-gram takes about three bytes of text
-    buckets = scratch.write(rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum(own).alias("hit")), "buckets")
-    n_raw, n_hit = (x or 0 for x in buckets.agg(F.sum("raw"), F.sum("hit")).first())
-    least = cutoff(n_raw)
+    n = n_buckets(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    rows = docs.select(F.when(target, 1).otherwise(0).alias("t"), F.explode(ngram_buckets(spaced_words(F.col(text)), n)).alias("b"))
+    counted = rows.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("hit")).toPandas()  # n rows at most
+    raw, hit = np.zeros(n), np.zeros(n)
+    raw[counted["b"]], hit[counted["b"]] = counted["raw"], counted["hit"]
+    n_raw, n_hit = raw.sum(), hit.sum()
     floor = round(math.log(prior / (n_hit + prior)) * 1e6)
 
-    heavy = small(buckets.where((F.col("raw") >= least) & (F.col("hit") >= 1)).select("b"))
-    counted = rows.withColumn("b", bucket).join(heavy, "b", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum(own).alias("hit"))
-    table = scratch.write(counted.where((F.col("raw") >= least) & (F.col("hit") >= 1)), "ngrams")
-
-    def over(own: int) -> Column:
-        p_raw = F.col("raw") / F.lit(float(n_raw))
-        p_hit = (F.col("hit") - own + prior * p_raw) / (n_hit + prior)
-        return F.when(F.col("hit") > own, F.round(F.log(p_hit / p_raw) * 1e6).cast("long") - floor).otherwise(F.lit(0).cast("long"))
-
-    over_floor = F.sum(F.coalesce(F.when(own == 1, F.col("inside")).otherwise(F.col("outside")), F.lit(0)))
-    ratios = table.select("g", "raw", over(0).alias("outside"), over(1).alias("inside"))
-    hot = F.broadcast(ratios.where(F.col("raw") * HOT >= n_raw).drop("raw"))
-    cold = ratios.where(F.col("raw") * HOT < n_raw).drop("raw")
-    found = rows.join(hot, "g", "left").groupBy("k").agg(over_floor.alias("s"), F.count(F.lit(1)).alias("n"))
-    if cold.limit(1).count():
-        rest = rows.join(hot.select("g"), "g", "left_anti").join(cold, "g").groupBy("k").agg(over_floor.alias("s"), F.lit(0).cast("long").alias("n"))
-        found = found.union(rest).groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    out = scratch.write(found.select("k", (F.col("s") + F.col("n") * F.lit(floor)).alias("total"), "n"), "totals")
-    for t in (buckets, table):
-        scratch.drop(t)
-    out.floor = floor / 1e6
-    return out
-
-
-def derived_threshold(totals: DataFrame) -> float:
-    """Midway between the floor and the least score of all but ``LOW_SHARE`` of the target's documents, to a thousandth of the floor."""
-    if not totals.floor:
+    def over(own: int) -> np.ndarray:
+        known = (raw >= max(2, CUT * n_raw / n)) & (hit > own)
+        p_raw = np.where(known, raw, 1) / max(n_raw, 1)
+        p_hit = (hit - own + prior * p_raw) / (n_hit + prior)
+        return np.where(known, np.rint(np.log(np.where(known, p_hit, 1) / p_raw) * 1e6) - floor, 0).astype(int)
+
+    def literal(ratio: np.ndarray) -> Column:
+        """Folded, it reaches the executors with the tasks."""
+        return F.split(F.lit(",".join(map(str, ratio.tolist()))), ",").cast("array<int>")
+
+    outside, inside = over(0), over(1)
+    return Ratios(n, floor, (floor + outside.mean()) / 1e6, literal(outside), literal(inside))
+
+
+def derived_threshold(docs: DataFrame, target: Column, text: str, ratios: Ratios) -> float:
+    """Midway between the score of the unseen and the least score of all but ``LOW_SHARE`` of the target's documents, to a thousandth of the floor."""
+    if not ratios.floor:
         return 0.0
-    width = -totals.floor / 1000
-    own = totals.where((F.col("k").bitwiseAND(F.lit(1).cast("long")) == 1) & (F.col("n") >= LEAST_NGRAMS))
+    width = -ratios.floor / 1e6 / 1000
+    words = spaced_words(F.col(text))
+    own = docs.where(target).select(F.when(F.size(words) * 2 - 1 >= LEAST_NGRAMS, ratios.mean(words, F.lit(True))).alias("llr")).where("llr is not null")
     # bins of ratios: as many as the range of logarithms holds, whatever the corpus
-    bins = own.groupBy(F.floor(F.col("total") / F.col("n") / 1e6 / width).alias("b")).count().orderBy("b").collect()
+    bins = own.groupBy(F.floor(F.col("llr") / width).alias("b")).count().orderBy("b").collect()
     left = LOW_SHARE * sum(r["count"] for r in bins)
     for r in bins:
         left -= r["count"]
         if left < 0:
-            return (r["b"] * width + totals.floor) / 2
+            return (r["b"] * width + ratios.unseen) / 2
     return -math.inf
 
 
-def score(docs: DataFrame, target: Column, text: str = "text", prior: float = PRIOR, threshold: float | None = None, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, target: Column, text: str = "text", prior: float = PRIOR, threshold: float | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
     ``target`` marks the trusted documents by a boolean column expression over ``docs``. ``threshold``: in place of
     the derived one.
     """
-    with shuffles_dropped(docs.sparkSession):
-        totals = log_ratios(docs, target, text, prior, scratch or Scratch(docs.sparkSession))
-        threshold = derived_threshold(totals) if threshold is None else threshold
-    ratios = totals.select(F.col("k").alias("__k"), (F.col("total") / F.col("n") / 1e6).alias("llr"))
-    w, col = F.col("__words"), F.col(text)
-    # counted before the join, so that a join by shuffle moves no text that the caller doesn't select
-    counted = docs.drop("llr").withColumns({"__key": text_key(text, target), "__words": spaced_words(col)}).withColumns(
+    ratios = log_ratios(docs, target, text, prior)
+    threshold = derived_threshold(docs, target, text, ratios) if threshold is None else threshold
+    key = free_name(docs, "words")
+    w, col = F.col(key), F.col(text)
+    counted = docs.withColumn(key, spaced_words(col)).withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.coalesce(F.regexp_count(col, F.lit(SYMBOLS)), F.lit(0)).cast("long"),
             "n_dup_lines": duplicate_lines(col),
             "n_repeat_words": repeated_words(w),
+            "llr": ratios.mean(w, target),
         }
     )
     return (
-        counted.drop("__words")
-        .join(small(ratios), F.col("__key") == F.col("__k"), "left")
-        .drop("__k", "__key")
+        counted.drop(key)
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
     )

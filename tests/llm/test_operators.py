@@ -302,15 +302,16 @@ def test_ratio_against_brute_force(spark):
     """The tables and means by their definition, with Spark's own hash of the n-grams; at the larger size the cutoff is over 2."""
     good, bad = "a quiet river runs below the old stone bridge at dawn", "buy $$$ now *** buy $$$ now *** cheap ### pills %%% fast"
     rng = random.Random(5)
-    mixed = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(40)) for _ in range(300)]
+    mixed = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(400)) for _ in range(100)]
     for texts in ([good if i % 2 else bad for i in range(12)], mixed):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.col("doc_id") % 2 == 1)
         got = {r["doc_id"]: r for r in qualityrules.score(docs, F.col("t"), prior=16.0).collect()}
-        grams = {r["doc_id"]: r["g"] for r in docs.select("doc_id", qualityrules.ngram_hashes(F.split("text", " ")).alias("g")).collect()}
+        n = qualityrules.n_buckets(sum(map(len, texts)))
+        grams = {r["doc_id"]: r["g"] for r in docs.select("doc_id", qualityrules.ngram_buckets(F.split("text", " "), n).alias("g")).collect()}
         raw, hit = Counter(x for g in grams.values() for x in g), Counter(x for i, g in grams.items() if i % 2 for x in g)
         n_raw, n_hit = sum(raw.values()), sum(hit.values())
-        least = qualityrules.cutoff(n_raw)
-        assert least == (2 if texts is not mixed else 9)
+        least = max(2, 2 * n_raw / n)
+        assert (least > 2) == (texts is mixed)
 
         def ratio(x, own):
             h = hit[x] - own if raw[x] >= least else 0
@@ -336,15 +337,9 @@ def test_ratio_rejects_junk_at_every_size(spark):
         assert len(rows) == n and all(not r["base_failed"] and r["kept"] == (r["doc_id"] % 3 != 0) for r in rows)
 
 
-def test_rare_ngrams_by_shuffle(spark, monkeypatch):
-    """Without broadcast n-grams the scores are the same; copies of a text don't change its mean."""
-    docs = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 25))) for i in range(20)] + [(3, " ".join(f"w{(3 * j) % 17}" for j in range(1, 25)))]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("t", F.col("doc_id") % 2 == 1)
-    want = sorted((r["doc_id"], r["llr"], r["kept"]) for r in qualityrules.score(df, F.col("t")).collect())
-    for hot in (1, 40):
-        monkeypatch.setattr(qualityrules, "HOT", hot)
-        assert sorted((r["doc_id"], r["llr"], r["kept"]) for r in qualityrules.score(df, F.col("t")).collect()) == want
-    assert len(want) == len(docs)
+def test_table_grows_with_the_corpus():
+    sizes = [qualityrules.n_buckets(10**k) for k in range(4, 16)]
+    assert sizes == sorted(set(sizes)) and qualityrules.n_buckets(3 * 10**14) < 8_000_000
 
 
 def test_quality_cases(spark, odd, empty, labels):
