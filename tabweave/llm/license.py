@@ -1,13 +1,15 @@
 """License scan: base phrases, and a positional index of the rare words of licence templates.
 
 Document frequencies of all template words are counted over the whole corpus; each template is indexed
-by its rarest words, and the rarest of its key phrase, with their positions. All indexed words of a document
-are looked up (the index is a constant of the code), their postings give alignments (template, start), and an alignment is verified word by word: it counts if
-at least half of the template's words stand in place and all of its mandatory key phrase does.
+by its rarest words, and the two rarest of its key phrase, with their positions. All indexed words of a document
+are looked up (the index is a constant of the code); a posting gives an alignment (template, start). Only alignments on which
+the postings of two words or more agree stay, and are verified word by word: one counts if at least half of the
+template's words stand in place and all of its mandatory key phrase does. As the key phrase's two rarest words are
+indexed, no such alignment is missed.
 
 Defined cases: a null or empty text has no words: counts 0, positions null, labels empty, score 0.
 Repeated rows are judged alike. Texts of any length are scanned whole. With an empty corpus all words
-are equally rare and the result is empty. Ties in rarity go by the word.
+are equally rare and the result is empty. Ties in rarity go by the word. An input column named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BASE = (
     ("mit license", "mit"),
 )
 
-# Well-known licence notices: label, notice, mandatory key phrase.
+# Well-known licence notices and paragraphs of licence texts: label, words, mandatory key phrase.
 TEMPLATES = (
     ("agpl-3.0", "under the terms of the GNU Affero General Public License version 3", "gnu affero general public license"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache license version 2 0"),
@@ -45,10 +47,40 @@ TEMPLATES = (
     ("mit", "Released under the MIT License", "mit license"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    (
+        "apache-2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "apache org licenses license 2 0",
+    ),
+    (
+        "gpl-2.0",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "either version 2 of the license",
+    ),
+    (
+        "gpl-3.0",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "either version 3 of the license",
+    ),
+    (
+        "mit",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "use copy modify merge publish distribute sublicense and or sell copies",
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    (
+        "zlib",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "including commercial applications and to alter it and redistribute it freely",
+    ),
 )
 
-#: Indexed words of a template, besides the rarest of its key phrase: a verified alignment holds that one.
-RARE_WORDS = 4
+#: Indexed words of a template, besides the rarest of its key phrase: a verified alignment holds all of these.
+RARE_WORDS, KEY_WORDS = 4, 2
 #: Share of a template's words that must stand in place.
 SHARE = 0.5
 
@@ -100,7 +132,7 @@ def template_hits(words: Column, frequencies: dict[str, int]) -> Column:
     """Array of (label, share) for every verified alignment of a template."""
     parsed = [(label, _words(notice), _words(key)) for label, notice, key in TEMPLATES]
     rarest = lambda ws, n: sorted(set(ws), key=lambda w: (frequencies[w], w))[:n]
-    index = [(w, t, p) for t, (_, ws, key) in enumerate(parsed) for w in sorted({*rarest(ws, RARE_WORDS), *rarest(key, 1)}) for p in (i for i, x in enumerate(ws) if x == w)]
+    index = [(w, t, p) for t, (_, ws, key) in enumerate(parsed) for w in sorted({*rarest(ws, RARE_WORDS), *rarest(key, KEY_WORDS)}) for p in (i for i, x in enumerate(ws) if x == w)]
     rare_lit = F.array(*[F.lit(w) for w in sorted({w for w, _, _ in index})])
     index_lit = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in index])
     templates = F.array(
@@ -129,7 +161,12 @@ def template_hits(words: Column, frequencies: dict[str, int]) -> Column:
         starts = F.flatten(
             F.transform(posts, lambda x: F.transform(F.filter(index_lit, lambda e: e["w"] == x["w"]), lambda e: F.struct(e["t"].alias("t"), (x["i"] - e["p"]).alias("at"))))
         )
-        return F.filter(F.transform(F.array_distinct(starts), lambda a: verified(w, a)), lambda x: x["key"] & (x["share"] >= SHARE))
+        # sorted, the postings of one alignment are neighbours: the second of them stands for all
+        agreed = let(
+            F.array_sort(starts),
+            lambda s: F.filter(s, lambda a, i: a.eqNullSafe(F.get(s, i - 1)) & ~a.eqNullSafe(F.get(s, i - 2))),
+        )
+        return F.filter(F.transform(agreed, lambda a: verified(w, a)), lambda x: x["key"] & (x["share"] >= SHARE))
 
     none = F.array().cast("array<struct<label:string,share:double,key:boolean>>")
     return let(

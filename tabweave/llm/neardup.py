@@ -7,9 +7,12 @@
 3. 42 bands of 6 bins make buckets: a pair at similarity 0.8 shares none with probability 3e-6.
 4. Each bucket's hub is its member that shares most buckets; edges go from the hub to the other members
    only. They are confirmed on full sets: 100 * intersection >= 80 * union.
-5. Components of confirmed edges. Members of one bucket that are still in different components are compared in
-   a second pass, inside the join's condition, by their differences from the hub's set, which is exact and
-   short for near sets; so no link inside a bucket is lost, and only links are emitted.
+5. Components of confirmed edges. Members of a bucket that are still in different components get a second pass: a
+   prefix index. Their shingles are put in one order, rare ones first; two sets that are similar enough share one
+   of the first fifth of the greater set's and the first ninth of the smaller's. Of the texts of one shingle only pairs
+   across components are made, and of its largest component no pairs among itself; sizes and places in the order
+   bound the intersection, and what is left is confirmed on full sets. So no link inside a bucket is lost, and texts that share
+   frequent shingles only (a page's template) are never paired.
 
 Defined cases: null, empty or blank texts have an empty set: linked with nothing, kept, component their own
 doc_id. Fewer than 4 words: the whole sequence is the one shingle. Repeated rows share a class. A null doc_id
@@ -107,6 +110,51 @@ def _digest(s: Column) -> Column:
     return let(F.array_sort(s), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))
 
 
+#: A shingle of more sets than this has its frequency looked up; the others count as equally rare.
+FREQUENT = 64
+
+
+def _in_order(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, c, i, token): the first shingles of each set in the common order, as many as a greater partner needs."""
+    tokens = members.join(sets, "node").select("node", "n", "c", F.explode("s").alias("token"))
+    frequent = scratch.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > FREQUENT), "frequent")
+    ranked = tokens.join(small(frequent), "token", "left").groupBy("node", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token"))).alias("o"))
+    first = F.col("n") - F.ceil(F.col("n") * NUM / DEN - 1e-9) + 1
+    return scratch.write(ranked.select("node", "n", "c", F.posexplode(F.transform(F.slice("o", F.lit(1), first.cast("int")), lambda x: x["token"])).alias("i", "token")), "prefix")
+
+
+def prefix_candidates(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, y, cx, cy): pairs of nodes of different components that may be similar enough. ``members``: (node, n, c); ``sets``: (node, s)."""
+    prefix = _in_order(members, sets, scratch)
+    # of each shingle, the component of most sets
+    by_token = prefix.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("cs"))
+    mixed = scratch.write(by_token.where("cs > 1").select("token", "top"), "mixed")
+    p = scratch.write(prefix.join(small(mixed), "token").withColumn("other", F.col("c") != F.col("top")).drop("top"), "places")
+    short = F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (DEN + NUM) - 1e-9) + 1
+    x, y = p.alias("x"), p.where(F.col("i") < short).alias("y")
+    rest = F.least("x.i", "y.i") + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    fits = (
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.c") != F.col("y.c"))
+        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.node") < F.col("x.node"))))
+        & _size_fits(F.col("x.n"), F.col("y.n"))
+        & _similar(F.col("x.n"), F.col("y.n"), rest)
+    )
+    out = [F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.c").alias("cx"), F.col("y.c").alias("cy")]
+    pairs = x.where("x.other").join(y, fits).select(out).union(x.where("not x.other").join(y.where("y.other"), fits).select(out))
+    return pairs.distinct()
+
+
+def prefix_links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): components that a link between two members joins."""
+    if not members.limit(1).count():
+        return members.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    pairs = scratch.write(prefix_candidates(members, sets, scratch), "candidates")
+    full = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
+    links = full.where(_similar(F.size("sx"), F.size("sy"), F.size(F.array_intersect("sx", "sy"))))
+    return links.select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(id, n, component): every document with its set's size and smallest reachable doc_id, a row for each row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -140,28 +188,16 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scra
     sets = sets.withColumns({"n": F.size("s").cast("long"), "h": _digest(F.col("s"))}).join(classes.join(wanted.select("node"), "node", "left_semi").select("node", "n", "h"), ["n", "h"])
     sets = scratch.write(sets.select("node", "s").dropDuplicates(["node"]), "sets")
 
-    # stars: from hub to spokes, on full sets; what a spoke lacks of its hub and has besides tells its set
-    stars = spokes.select("hub", "node").distinct()
-    stars = stars.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("s").alias("hs")), "hub")
-    stars = stars.select("hub", "node", F.size("hs").alias("hub_n"), F.size("s").alias("own_n"), F.array_except("hs", "s").alias("lacks"), F.array_except("s", "hs").alias("extra"))
-    stars = scratch.write(stars.withColumn("link", _similar(F.col("hub_n"), F.col("own_n"), F.col("hub_n") - F.size("lacks"))), "stars")
-    found = scratch.write(connected_components(stars.where("link").select("hub", "node"), scratch).withColumnRenamed("component", "c"), "found")
+    # stars: from hub to spokes, on full sets
+    stars = spokes.select("hub", "node").distinct().join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("s").alias("hs")), "hub")
+    linked_stars = stars.where(_similar(F.size("hs"), F.size("s"), F.size(F.array_intersect("hs", "s")))).select("hub", "node")
+    found = scratch.write(connected_components(linked_stars, scratch).withColumnRenamed("component", "c"), "found")
 
-    # second pass: spokes of one hub and bucket in different components. Jaccard distance is a metric, so spokes whose
-    # distances from the hub differ by more than the limit can't be linked; the others are decided on their full sets
+    # second pass: spokes of one bucket in different components
     placed = spokes.join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    placed = placed.join(split, "bucket", "left_semi").join(stars.select("hub", "node", "hub_n", "lacks", "extra"), ["hub", "node"])
-    distance = 1 - (F.col("hub_n") - F.size("lacks")) / (F.col("hub_n") + F.size("extra"))
-    placed = scratch.write(placed.select("bucket", "node", "n", "c", "hub_n", "lacks", "extra", distance.alias("distance")), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    near = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - NUM / DEN + 1e-9
-    lacking = F.size("x.lacks") + F.size("y.lacks") - F.size(F.array_intersect("x.lacks", "y.lacks"))
-    both = F.col("x.hub_n") - lacking + F.size(F.array_intersect("x.extra", "y.extra"))
-    fits = _size_fits(F.col("x.n"), F.col("y.n")) & near & _similar(F.col("x.n"), F.col("y.n"), both)
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & fits)
-    more = scratch.write(more.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "more")
-    merged = scratch.write(connected_components(more, scratch), "merged")
+    members = scratch.write(placed.join(split, "bucket", "left_semi").select("node", "n", "c").distinct(), "members")
+    merged = scratch.write(connected_components(prefix_links(members, sets, scratch), scratch), "merged")
 
     nodes = classes.select("node", "n", "h", "rep").join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
     nodes = nodes.join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("component", "c")).select("n", "h", "rep", "c")

@@ -430,6 +430,37 @@ def test_every_template_is_looked_up(spark):
     assert got[2] >= {label for label, _, _ in licenses.TEMPLATES}
 
 
+def test_license_labels_against_brute_force(spark):
+    """Every alignment with the whole key phrase and half of the words in place, over random mixtures of notices."""
+    rng = random.Random(12)
+    notices = [brute.plain(n) for _, n, _ in licenses.TEMPLATES]
+    texts = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randint(1, 20)):
+            n = list(rng.choice(notices))
+            for _ in range(rng.randint(0, 6)):
+                n[rng.randrange(len(n))] = rng.choice(["x", "license", "software", "the"])
+            if rng.random() < 0.2:
+                del n[rng.randrange(len(n))]
+            w += n + ["and"] * rng.randint(0, 2)
+        texts.append((i, " ".join(w)))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        w, labels, best = brute.plain(t), set(), 0.0
+        for (label, _, key), n in zip(licenses.TEMPLATES, notices, strict=True):
+            k = key.split()
+            at = next(j for j in range(len(n)) if n[j : j + len(k)] == k)
+            for start in range(-at, len(w)):
+                if w[start + at : start + at + len(k)] == k:
+                    share = sum(0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(n)) / len(n)
+                    if share >= 0.5:
+                        labels.add(label)
+                        best = max(best, share)
+        labels |= {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(w)} "}
+        assert got[i]["labels"] == ",".join(sorted(labels)) and got[i]["score"] == pytest.approx(max(best, 0.5 if got[i]["base_labels"] else 0))
+
+
 def test_license_base_against_brute_force(spark, documents):
     rows = queries.op8_license_scan(spark, SF).collect()
     for r in rows:
@@ -501,6 +532,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute.near_components(docs)
 
 
+def test_second_pass_against_brute_force(spark, monkeypatch):
+    """Candidates miss no link, whatever the order of shingles; texts that share a template only aren't paired."""
+    rng = random.Random(21)
+    monkeypatch.setattr(neardup, "FREQUENT", 5)
+    template = list(range(100))
+    rows = [template + list(range(1000 + 50 * i, 1000 + 50 * i + rng.randint(15, 40))) for i in range(60)]  # similar by 0.56 to 0.77
+    chain = rng.sample(range(20_000, 30_000), 60)
+    rows += [chain[k : k + 40] for k in range(0, 20, 2)] + [template + list(range(200, 200 + k)) for k in range(5, 25)]
+    rows = [(i, sorted(set(r)), i // 3 if 60 <= i < 70 else i) for i, r in enumerate(rows)]
+    nodes = spark.createDataFrame(rows, "node long, s array<long>, c long").withColumn("n", F.size("s").cast("long"))
+    got = neardup.prefix_candidates(nodes.select("node", "n", "c"), nodes.select("node", "s"), Scratch(spark)).collect()
+    similar = {(i, j) for i, a, c in rows for j, b, d in rows if j < i and c != d and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})}
+    assert similar and similar <= {tuple(sorted((r["x"], r["y"]), reverse=True)) for r in got}
+    assert not any(r["x"] < 60 and r["y"] < 60 for r in got)
+
+
 def test_near_duplicate_cases(spark, odd, empty):
     rows = neardup.components(odd).collect()
     assert len(rows) == odd.count()
