@@ -101,13 +101,28 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-#: Most rows of a side that is broadcast, of rows of a few dozen bytes.
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, which is counted first; otherwise as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Most bytes of a side that is broadcast, as ``row_bytes`` measures them, and most rows of two numbers each.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = BROADCAST_BYTES // 64
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in a broadcast table: 48 bytes and its values."""
+    out = F.lit(48).cast("long")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            out += F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            out += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+        else:
+            out += 8
+    return out
+
+
+def small(df: DataFrame, size: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``size`` bytes, which is measured first; otherwise as it is, for a join by shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= (BROADCAST_BYTES if size is None else size) else df
 
 
 _shipped: set[str] = set()

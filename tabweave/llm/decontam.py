@@ -111,7 +111,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "d
     """``docs`` with n_words, hit (positions), items (ids) and contaminated."""
     hits = PositionalIndex(docs, bench, window, text, doc_id, scratch=scratch).hits()
     hits = (scratch or Scratch(docs.sparkSession)).write(hits, "hits")
-    found = small(hits.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("hit").alias("__hit"), F.col("items").alias("__items")), rows=500_000)
+    found = small(hits.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("hit").alias("__hit"), F.col("items").alias("__items")))
     joined = docs.join(found, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")), "left")
     return joined.withColumns(
         {

@@ -2,15 +2,16 @@
 
 A text's features are its byte n-grams (n = 2 to 4 by default, over lower-cased UTF-8, so they cross no
 document), hashed to buckets with an embedding each; the embeddings are averaged and a linear softmax gives a
-probability for each language. Training uses a bounded sample of labelled rows (``SAMPLE`` documents, spread
-evenly over the languages by hash order), whole texts. A temperature, and for rejection the probability
+probability for each language. Training uses a bounded sample of labelled rows (``SAMPLE`` documents, or one of each
+language if these are more, spread evenly over the languages by hash order; ``SAMPLE_BYTES`` of text), whole texts. A temperature, and for rejection the probability
 that all but ``REJECT`` of the right held-back predictions reach, are fitted on a fifth of the sample that SGD doesn't see.
 
-For prediction the embeddings are multiplied with the softmax weights once, so a text costs one table look-up
-for each n-gram; texts go through in Arrow batches and are used whole.
+For prediction the embeddings are multiplied with the softmax weights once (if the languages are no more than the
+embedding's numbers), so a text costs one table look-up for each n-gram; texts go through in Arrow batches and are used
+whole, a very long one in slices of its n-grams.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected. Repeated rows get equal
-predictions. Rows with a null language or doc_id are never trained on. With no labelled row every text is
+predictions. Of equal probabilities the first language by name wins. An input column named like an output is replaced. Rows with a null language or doc_id are never trained on. With no labelled row every text is
 ``und``. An empty table gives an empty result.
 """
 
@@ -21,16 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
 
 SAMPLE = 2000
+SAMPLE_BYTES = 64 << 20
 REJECT = 0.01
 UNKNOWN = "und"
 BITS, DIM = 18, 16
 ORDERS = (2, 3, 4)
+#: N-grams of one text that are looked up at once.
+SLICE = 1 << 20
 
 
 def ngrams(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +61,8 @@ def ngrams(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS)
 @dataclass
 class Model:
     langs: list[str]
-    logits: np.ndarray  # buckets x languages: embeddings times weights
+    table: np.ndarray  # buckets x languages: embeddings times weights; or the embeddings
+    weights: np.ndarray | None  # with embeddings: embedding x languages
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -77,10 +82,14 @@ class Model:
         return out
 
     def _block(self, texts: list[str]) -> np.ndarray:
-        ids, starts = ngrams(texts)
+        ids, starts = ngrams(texts, len(self.table).bit_length() - 1)
         counts = np.diff(np.append(starts, len(ids)))
-        sums = np.add.reduceat(np.take(self.logits, ids, axis=0), starts, axis=0, dtype=np.float64)
-        return softmax((sums / counts[:, None] + self.bias) / self.temperature)
+        if len(texts) > 1:
+            sums = np.add.reduceat(np.take(self.table, ids, axis=0), starts, axis=0, dtype=np.float64)
+        else:
+            sums = sum(np.take(self.table, ids[k : k + SLICE], axis=0).sum(0, dtype=np.float64) for k in range(0, len(ids), SLICE))[None]
+        means = sums / counts[:, None]
+        return softmax(((means if self.weights is None else means @ self.weights) + self.bias) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -116,7 +125,7 @@ def train(texts: list[str], langs: list[str], bits: int = BITS, dim: int = DIM,
             w -= step * 0.05 * np.outer(x, p)
             b -= step * 0.002 * p
             e[ids] -= step * share[:, None] * dx
-    model = Model(names, (e @ w).astype(np.float32), b, 1.0, 0.0)
+    model = Model(names, (e @ w).astype(np.float32), None, b, 1.0, 0.0) if len(names) <= dim else Model(names, e, w, b, 1.0, 0.0)
     check = np.flatnonzero(held)
     if len(check):
         p = np.log(model.predict([texts[i] for i in check]) + 1e-12)
@@ -128,22 +137,29 @@ def train(texts: list[str], langs: list[str], bits: int = BITS, dim: int = DIM,
     return model
 
 
-def labelled_sample(docs: DataFrame, label: str, by: Column, bound: int = SAMPLE) -> DataFrame:
-    """Rows with a non-null ``label``, about ``bound`` and at most that, spread evenly over the labels' values by the order of ``by`` (a hash)."""
-    rows = docs.where(F.col(label).isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()}
-    if not counts:
-        return rows.limit(0)
-    each = max(1, bound // len(counts))
-    span = 1 << 30
-    keep = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, each / n) * span))])
-    return rows.where(F.pmod(by, F.lit(span)) < F.coalesce(F.element_at(keep, F.col(label)), F.lit(0))).orderBy(by).limit(bound)
+def labelled_sample(rows: DataFrame, bound: int = SAMPLE, size: int = SAMPLE_BYTES) -> DataFrame:
+    """Of ``rows`` (id, t, l) with a label l, about ``bound`` spread evenly over the labels, in the order of a hash of their ids.
+
+    Every label has a row at least. Of rows of one id that with the least label and text counts. Once the
+    texts taken exceed ``size`` bytes, no more are.
+    """
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("id").alias("n"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(bound) / F.count(F.lit(1)).over(Window.partitionBy())))  # a row for each label only
+    counts = counts.select(F.col("l").alias("l_"), "n", each.alias("each"))  # as many rows as the model has languages
+    by = F.xxhash64("id")
+    # a few more than needed by a threshold on the hash, so that no label's rows meet in one task; then the first of them
+    near = F.pmod(by, F.lit(1 << 30)) < (4 * F.col("each") + 20) / F.col("n") * (1 << 30)
+    some = rows.join(F.broadcast(counts), F.col("l") == F.col("l_")).where(near).groupBy("id").agg(F.min(F.struct("l", "t", "each")).alias("r")).select("id", "r.*")
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(by, "id"))).where("k <= each")
+    before = F.sum(F.octet_length("t")).over(Window.partitionBy().orderBy("k", by, "id", "l")) - F.octet_length("t")
+    return first.withColumn("before", before).where(F.col("before") < size).select("id", "t", "l")
 
 
 def fit(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bound: int = SAMPLE) -> Model | None:
-    """Train on at most ``bound`` rows for which ``where`` holds; None if there is none."""
-    rows = docs.where(where & F.col(doc_id).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    got = labelled_sample(rows, "l", F.xxhash64("id"), bound).collect()
+    """Train on about ``bound`` rows for which ``where`` holds, or one for each language; None if there is none."""
+    usable = where & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")
+    rows = docs.where(usable).select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    got = labelled_sample(rows, bound).collect()
     got.sort(key=lambda r: (str(r["id"]), r["t"]))
     order = np.random.default_rng(3).permutation(len(got))
     return train([got[i]["t"] for i in order], [got[i]["l"] for i in order]) if got else None
@@ -152,6 +168,7 @@ def fit(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang",
 def predict(docs: DataFrame, model: Model | None, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with lang_pred, score and rejected."""
     ship(docs.sparkSession)
+    columns = [c for c in columns if c.lower() not in ("lang_pred", "score", "rejected")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 

@@ -132,7 +132,7 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_word
     blocks = repeated_blocks(lines, min_words, scratch)
     gone = blocks.select("id", "h", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("i")).groupBy("id", "h").agg(F.collect_set("i").alias("gone"))
     gone = scratch.write(gone.select(F.col("id").alias("__gid"), F.col("h").alias("__gh"), F.col("gone").alias("__gone")), "gone")
-    joined = docs.join(small(gone, rows=200_000), docs[doc_id].eqNullSafe(F.col("__gid")) & (F.xxhash64(docs[text]) == F.col("__gh")), "left")
+    joined = docs.join(small(gone), docs[doc_id].eqNullSafe(F.col("__gid")) & (F.xxhash64(docs[text]) == F.col("__gh")), "left")
 
     def rest(ls: Column) -> Column:
         full = F.filter(F.transform(ls, lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())

@@ -2,7 +2,7 @@
 
 1. Documents are tokenized whole, in Arrow batches; a document's ids end with a separator. Longer ones are cut
    into full sequences, the first piece taking the rest.
-2. Pieces are dealt at random (by hash) into groups of about ``GROUP`` pieces, however many there are, so
+2. Pieces are dealt evenly, by a hash of their place in the written table, into groups of about ``GROUP`` pieces, however many there are, so
    packing is parallel and a task's memory is bounded; each group loses at most about one sequence.
 3. In a group, longest piece first, a bin is chosen among all open ones in which the piece fits under every
    capacity (tokens, documents, attention cost as the sum of squared lengths): the one with the least
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch, ship
 
@@ -168,17 +169,17 @@ def pack(table: DataFrame, size: int = TOKENS, documents: int | None = None, att
     """``table`` (of ``pieces``) with sequence_id and offset. It is written first, as its rows are counted."""
     ship(table.sparkSession)
     scratch = scratch or Scratch(table.sparkSession)
-    table = scratch.write(table, "pieces")
+    schema = StructType([*table.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    table = scratch.write(table.withColumn("place", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-table.count() // group))
-    schema = table.schema.add("sequence_id", "long").add("offset", "long")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit(t.column("length").to_numpy(), size, documents, attention, rule=rule)
         number = key[0].as_py() << 32
-        return t.drop_columns(["g"]).append_column("sequence_id", pa.array(bins + number, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return t.drop_columns(["g", "place"]).append_column("sequence_id", pa.array(bins + number, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = table.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = table.withColumn("g", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("long"))
     return dealt.groupBy("g").applyInArrow(run, schema)
 
 

@@ -7,11 +7,12 @@ line bad) and the field is fitted again. A document's quality is the mean of its
 marginals, weighted by their length, mapped to a probability by logistic calibration on the training sample.
 
 Everything is numpy over Arrow batches. Documents of one batch run through forward-backward together, sorted by
-their number of lines. Training takes a bounded sample of labelled rows (``SAMPLE``), whole texts.
+their number of lines; a very long text is a batch of its own, as its chain is one. Training takes a bounded sample of
+labelled ids (``SAMPLE``, and ``SAMPLE_BYTES`` of text), whole texts, of rows of one id that with the least text.
 
 Defined cases: a null or empty text is one empty line. Repeated rows get equal scores. With no labelled row, or
 labels of one kind only, every score is that kind's share (0.5 if none). Labels of null doc_ids or null quality are ignored;
-of several labels of one doc_id the lowest counts. An empty table gives an empty result.
+of several labels of one doc_id the lowest counts. An input column named like an output is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
 
 SAMPLE = 4000
+SAMPLE_BYTES = 64 << 20
 CUTOFF = 0.3
 
 # Character classes, in bytes.
@@ -230,17 +232,21 @@ def train(texts: list[str], labels: list[int], rounds: int = 60, l2: float = 1e-
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", doc_id: str = "doc_id", bound: int = SAMPLE) -> Model:
-    """Train on at most ``bound`` labelled rows for which ``where`` (over the labels' doc_id) holds: the first by a hash of their ids."""
+    """Train on at most ``bound`` labelled ids for which ``where`` (over the labels' doc_id) holds: the first by a hash of their ids."""
     one = labels.where(where & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("__l"), "q")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(picked), F.col("id") == F.col("__l")).collect()  # bounded by ``bound``
-    rows.sort(key=lambda r: (str(r["id"]), r["t"] or ""))
-    return train([r["t"] or "" for r in rows], [r["q"] for r in rows])
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), F.col("id") == F.col("__l"))
+    one = rows.groupBy("id").agg(F.min("t").alias("t"), F.min("q").alias("q"))  # ``bound`` rows at most
+    before = F.sum(F.octet_length("t")).over(Window.partitionBy().orderBy(F.xxhash64("id"), "id")) - F.octet_length("t")
+    rows = one.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES).collect()
+    rows.sort(key=lambda r: str(r["id"]))
+    return train([r["t"] for r in rows], [r["q"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """``columns`` of ``docs`` with score and predicted (1 if the score is at least ``cutoff``)."""
     ship(docs.sparkSession)
+    columns = [c for c in columns if c.lower() not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 

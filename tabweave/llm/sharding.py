@@ -8,7 +8,8 @@ size is fixed (65,537 rows), whatever the data or the number of shards.
 
 Defined cases: a null key is placed as the empty string. Equal keys, and so repeated rows, go to one
 shard; a key that holds a large share of the rows is spread by naming more key columns (``salt``).
-Text is only measured, null as 0 bytes. An empty table gives an empty result.
+Text is only measured, null as 0 bytes. An input column named like an output is replaced (after it
+has served as a key). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 TABLE_SIZE = 65537
 
 
@@ -62,11 +65,14 @@ def place(
 ) -> DataFrame:
     """``df`` with its slot and shard number. ``salt``: more columns of the key, to spread hot keys."""
     table = lookup_table(shards, size)
-    slots = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")).alias("__slot", shard_name))
+    own, other = free_name(df, "slot_of_row"), free_name(df, "slot_of_table")
+    slots = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")).alias(other, shard_name))
     return (
-        df.withColumn(slot_name, slot([df[c] for c in [*keys, *(salt or [])]], size))
-        .join(F.broadcast(slots), F.col(slot_name) == F.col("__slot"))
-        .drop("__slot")
+        df.withColumn(own, slot([df[c] for c in [*keys, *(salt or [])]], size))
+        .drop(slot_name, shard_name)
+        .join(F.broadcast(slots), F.col(own) == F.col(other))
+        .withColumn(slot_name, F.col(own))
+        .drop(own, other)
     )
 
 

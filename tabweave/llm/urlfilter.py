@@ -7,7 +7,8 @@ allowed. Components are found by distributed star contraction.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule and no edges, and
 is allowed. Null html has no links. Repeated rows are judged alike; of rules that tie in length, allow
-wins. An empty table gives an empty result. Extra columns pass through.
+wins. An empty table gives an empty result. Extra columns pass through, whatever their names; one named like an output is
+replaced. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, let
+from .common import Scratch, ascii_lower, free_name, let, small
 from .components import connected_components
 
 #: (action, host, path prefix with its slash)
@@ -115,7 +116,7 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
 
     def ruled_node(u: Column) -> Column:
         action = let(u, lambda x: best_rule(host(x), path(x), rules)["action"])
-        return F.struct(F.xxhash64(alias_key(u)).alias("node"), action.alias("action"))
+        return F.struct(alias_key(u).alias("node"), action.alias("action"))
 
     links = scratch.write(
         links.where(F.contains("source", F.lit("://")) & F.contains("target", F.lit("://"))).select(ruled_node(F.col("source")).alias("source"), ruled_node(F.col("target")).alias("target")),
@@ -125,16 +126,19 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     # an explicit decision on any spelling of a url counts for its node
     ruled = links.select("source.*").union(links.select("target.*")).where("action is not null")
     page_rules = pages.select(ruled_node(F.col(url)).alias("x")).select("x.*").where("action is not null")
+    page_rules = page_rules.groupBy("node").agg(F.min("action").alias("action"))
     ruled = ruled.union(page_rules)
     decided = ruled.join(nodes, "node").groupBy("component").agg(F.min("action").alias("component_action"))  # allow < block
-    by_node = scratch.write(nodes.join(decided, "component").select("node", "component_action"), "decided")
-    out = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    out = out.withColumns({"__best": best_rule(F.col("host"), F.col("path"), rules), "__node": F.xxhash64(alias_key(F.col(url)))})
-    out = out.join(by_node, F.col("__node") == F.col("node"), "left")
+    own, other, carried, best = (free_name(pages, x) for x in ("node_of_page", "node_of_alias", "action_of_alias", "best_rule"))
+    by_node = scratch.write(nodes.join(decided, "component").select(F.col("node").alias(other), F.col("component_action").alias(carried)), "decided")
+    # a key has no fragment, so these match none; they keep pages without a key apart
+    lone = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    out = pages.withColumn(own, F.coalesce(alias_key(F.col(url)), lone)).withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
+    out = out.withColumn(best, best_rule(F.col("host"), F.col("path"), rules)).join(small(by_node), F.col(own) == F.col(other), "left")
     return out.withColumns(
         {
-            "rule": F.col("__best.rule"),
-            "verdict": F.coalesce(F.col("__best.action"), F.col("component_action"), F.lit("allow")),
-            "via": F.when(F.col("__best").isNotNull(), "rule").when(F.col("component_action").isNotNull(), "alias").otherwise("default"),
+            "rule": F.col(best)["rule"],
+            "verdict": F.coalesce(F.col(best)["action"], F.col(carried), F.lit("allow")),
+            "via": F.when(F.col(best).isNotNull(), "rule").when(F.col(carried).isNotNull(), "alias").otherwise("default"),
         }
-    ).drop("__best", "__node", "node", "component_action")
+    ).drop(own, other, carried, best)

@@ -105,6 +105,32 @@ def test_language_cases(spark, odd, empty):
     assert langid.predict(empty, model, ["doc_id"]).count() == 0
 
 
+def test_sample_has_every_language(spark):
+    rows = [(i, f"text {i}", f"l{i % 1500:04d}") for i in range(4000)] + [(5, f"text {i}", "l0005") for i in range(3000)] + [(i, "more", "big") for i in range(10_000, 25_000)]
+    got = langid.labelled_sample(spark.createDataFrame(rows, "id long, t string, l string"), 3002).collect()
+    by = Counter(r["l"] for r in got)
+    assert len(by) == 1501 and max(by.values()) == 2 and by["big"] == 2
+    assert len({r["id"] for r in got}) == len(got) <= 3002
+    assert sum(len(r["t"]) for r in langid.labelled_sample(spark.createDataFrame(rows, "id long, t string, l string"), 3002, size=50).collect()) < 62
+
+
+def test_softmax_against_brute_force(monkeypatch):
+    """A text's probabilities by their definition, also by slices and with more languages than the embedding's numbers."""
+    texts = ["the quiet river", "der stille fluss", "le fleuve calme", "a"] * 12
+    for dim in (2, 16):
+        m = langid.train(texts, ["en", "de", "fr", "xx"] * 12, bits=10, dim=dim, epochs=2)
+        assert (m.weights is None) == (dim == 16)
+        monkeypatch.setattr(langid, "SLICE", 7)
+        for t in set(texts):
+            ids = langid.ngrams([t], 10)[0]
+            mean = np.mean([m.table[i] for i in ids], 0, dtype=np.float64)
+            logits = ((mean if m.weights is None else mean @ m.weights) + m.bias) / m.temperature
+            want = np.exp(logits) / np.exp(logits).sum()
+            assert m.predict([t])[0] == pytest.approx(want, abs=1e-6)
+            assert m.predict([t, "other"])[0] == pytest.approx(want, abs=1e-6)
+        monkeypatch.undo()
+
+
 def test_ngrams_stay_in_their_text():
     ids, starts = langid.ngrams(["ab", "xyz"])
     alone = [set(langid.ngrams([t])[0]) for t in ("ab", "xyz")]
@@ -284,6 +310,36 @@ def test_best_fit_keeps_every_capacity(lengths, documents, attention, rule):
             at += n
 
 
+def test_repeated_rows_are_dealt_evenly(spark):
+    """30,000 equal pieces don't meet in one group."""
+    table = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), *[F.lit(k).cast("long").alias(c) for c, k in (("start", 0), ("length", 1), ("ids_crc32", 7))])
+    rows = packing.pack(table, group=1024).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 30_000 and len(groups) == 30 and max(groups.values()) < 1400
+    places = sorted((r["sequence_id"], r["offset"]) for r in rows)
+    assert len(set(places)) == 30_000 and "place" not in rows[0]
+
+
+def test_best_fit_against_brute_force():
+    rng = random.Random(8)
+    for tokens, documents, attention in ((64, None, None), (64, 5, 1500)):
+        lengths = sorted((rng.randint(1, 38) for _ in range(300)), reverse=True)
+        bins, offsets = packing.best_fit(np.array(lengths), tokens, documents, attention)
+        caps, weights, made, want = (tokens, documents or tokens, attention or tokens**2), (1.0, 0.01, 0.01), [], []
+        for n in lengths:
+            fits = [(sum(w * (c - u - d) ** 2 / c**2 for w, c, u, d in zip(weights, caps, used, (n, 1, n * n), strict=True)), k) for k, used in enumerate(made) if all(u + d <= c for u, d, c in zip(used, (n, 1, n * n), caps, strict=True))]
+            best = min(fits)[0] if fits else None
+            want.append([k for score, k in fits if abs(score - best) < 1e-12])
+            k = int(bins[len(want) - 1])
+            if not fits:
+                assert k == len(made)
+                made.append([0, 0, 0])
+            else:
+                assert k in want[-1]
+            assert offsets[len(want) - 1] == made[k][0]
+            made[k] = [u + d for u, d in zip(made[k], (n, 1, n * n), strict=True)]
+
+
 # ---- 6 quality rules
 
 
@@ -504,6 +560,35 @@ def test_classifier_held_out(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) >= 0.95
 
 
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """Copies of one labelled id are one row of the sample."""
+    docs = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).union(spark.range(2, 30).selectExpr("id", "'other'"))
+    labels = spark.range(0, 40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    seen = []
+    monkeypatch.setattr(qualityclf, "train", lambda texts, marks: seen.append((texts, marks)))
+    qualityclf.fit(docs, labels, F.lit(True), bound=50)
+    texts, marks = seen[0]
+    assert len(texts) == 29 and texts.count("text 0") == 1 and sum(marks) == 15
+
+
+def test_clashing_names(spark):
+    """Input columns of the operators' output and inner names."""
+    names = ["shard", "slot", "slot_of_row", "node", "component_action", "node_of_page", "lang_pred", "score", "rejected", "predicted", "hit", "__w", "base", "found", "llr", "words", "n_words", "kept"]
+    docs = spark.createDataFrame([(1, "http://a.org/x", "one two three"), (None, None, None)], "doc_id long, url string, text string")
+    wide = docs.withColumns({n: F.lit(-1) for n in names}).withColumn("t", F.col("doc_id") == 1)
+    placed = sharding.place(wide, ["doc_id"], ["a", "b"])
+    assert {*placed.columns} == {*wide.columns} and placed.where("slot >= 0 and shard >= 0 and slot_of_row = -1").count() == 2
+    judged = urlfilter.judge(wide.withColumn("html", F.lit(None).cast("string")), [("block", "org", "/")])
+    assert [r["verdict"] for r in judged.orderBy(F.desc("doc_id")).collect()] == ["block", "allow"] and {*wide.columns} <= {*judged.columns} and judged.where("node = -1 and component_action = -1").count() == 2
+    model = langid.train(["a b", "c d"], ["x", "y"], bits=8)
+    assert langid.predict(wide, model, wide.columns).columns.count("score") == 1 and langid.predict(wide, model, wide.columns).count() == 2
+    assert qualityclf.predict(wide, qualityclf.train([], []), wide.columns).columns.count("score") == 1
+    assert licenses.scan(wide).columns.count("base") == 1 and licenses.scan(wide).where("n_words >= 0 and score = 0").count() == 2
+    scored = qualityrules.score(wide, F.col("t"))
+    assert scored.columns.count("llr") == 1 and scored.where("base_failed and words = -1").count() == 2
+    assert neardup.dedupe(wide).columns == wide.columns and linededup.apply(wide).columns == wide.columns
+
+
 def test_classifier_cases(spark, odd, empty, labels):
     model = qualityclf.train(["A clean line of text.\nAnother one here."] * 5 + ["$$$ *** ###\n||| %%% !!!"] * 5, [1] * 5 + [0] * 5)
     got = qualityclf.predict(odd, model, ["doc_id"]).collect()
