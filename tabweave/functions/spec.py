@@ -129,17 +129,27 @@ def typed(cell: Column, c: ColumnSpec, row_number: Column, throw: bool, blank: C
 def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = (), text_only: bool = False) -> DataFrame:
     """Typed rows of ``raw`` (row_idx from 0, cells: a dense array of cell structs), header row and rows before it left out.
 
-    ``header``: the header's texts; read from ``raw`` if not given. Blank records (no cells, or empty ones only) are skipped.
-    ``text_only``: all cells are text, as in delimited files; the plan then drops what only other cells need.
+    ``header``: the header's texts; read from ``raw`` if not given, of each file by itself where ``raw`` has a ``path``.
+    Blank records (no cells, or empty ones only) are skipped. ``text_only``: all cells are text, as in delimited
+    files; the plan then drops what only other cells need.
     """
-    if header is None and not spec.indexed:
-        header = read_header(raw, spec.header_row)
-    places = bind(header or (), spec)
+    place = None
+    if spec.indexed or header is not None:
+        places = bind(header or (), spec)
+    else:
+        found = read_headers(raw, spec.header_row)
+        bound = [(h, bind(h, spec)) for h in found]
+        places = bound[0][1]
+        if "path" in raw.columns and any(b != places for _, b in bound):
+            raw, place = _with_places(raw, spec, bound)
     data = raw if spec.indexed else raw.where(F.col("row_idx") >= spec.header_row)
     data = data.where(F.exists("cells", lambda c: c.isNotNull()))
     out = [F.col(k) for k in keep]
-    for c in spec.columns:
-        cell = F.get(F.col("cells"), F.lit(places[c.name])) if c.name in places else F.lit(None).cast(convert.CELL)
+    for i, c in enumerate(spec.columns):
+        if place is not None:
+            cell = F.get(F.col("cells"), F.get(F.col(place), F.lit(i)))
+        else:
+            cell = F.get(F.col("cells"), F.lit(places[c.name])) if c.name in places else F.lit(None).cast(convert.CELL)
         blank = None
         if text_only:
             text = cell["text"]
@@ -148,11 +158,32 @@ def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = N
     return data.select(*out)
 
 
-def read_header(raw: DataFrame, header_row: int) -> list[str | None]:
-    row = raw.where(F.col("row_idx") == header_row - 1).select(F.transform("cells", convert.string).alias("h")).head()
-    if row is None:
+def _header_texts(raw: DataFrame, header_row: int) -> DataFrame:
+    return raw.where(F.col("row_idx") == header_row - 1).withColumn("header_texts", F.transform("cells", convert.string))
+
+
+def _with_places(raw: DataFrame, spec: RowSpec, bound: list[tuple[list, dict[str, int]]]) -> tuple[DataFrame, str]:
+    """``raw`` with each file's cell numbers of the spec's columns, and the name of that column. A file without a header row is an error."""
+    name = "__places"
+    rows = [(h, [b.get(c.name) for c in spec.columns]) for h, b in bound]
+    known = raw.sparkSession.createDataFrame(rows, f"known array<string>, {name} array<int>")
+    headers = _header_texts(raw, spec.header_row).select(F.col("path").alias("__file"), "header_texts")
+    files = headers.join(F.broadcast(known), F.col("header_texts").eqNullSafe(F.col("known"))).select("__file", name)
+    lost = F.raise_error(F.concat(F.col("path"), F.lit(f" has fewer than {spec.header_row} rows; cannot resolve the header row"))).cast("array<int>")
+    return raw.join(files, F.col("path") == F.col("__file"), "left").drop("__file").withColumn(name, F.coalesce(name, lost)), name
+
+
+def read_headers(raw: DataFrame, header_row: int) -> list[list[str | None]]:
+    """The different headers of all files."""
+    rows = _header_texts(raw, header_row).select("header_texts").distinct().collect()
+    if not rows:
         raise SpecError(f"sheet has fewer than {header_row} rows; cannot resolve the header row")
-    return list(row["h"])
+    return sorted((list(r[0]) for r in rows), key=lambda h: [(x is not None, x or "") for x in h])
+
+
+def read_header(raw: DataFrame, header_row: int) -> list[str | None]:
+    """One header; of several files', the first in order."""
+    return read_headers(raw, header_row)[0]
 
 
 def from_dataclass(model: type) -> tuple[ColumnSpec, ...]:

@@ -10,8 +10,9 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..sources.shipping import ship
+from ..sources.shipping import scratch, ship
 
 
 def skip_rows(df: DataFrame, keep: Column) -> DataFrame:
@@ -80,19 +81,23 @@ def batch_numbers(df: DataFrame, order: str, size: int, name: str = "batch") ->
 
 
 def numbered(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:
-    """``df`` with row numbers from 0 in the order of the unique column ``order``."""
-    from pyspark.sql import Window
-
-    bounds = [r[0] for r in df.agg(F.explode(F.array_distinct(F.percentile_approx(order, [k / 16 for k in range(1, 16)], 1000)))).collect()]
-    part = functools.reduce(lambda acc, b: acc + (F.col(order) > F.lit(b)).cast("int"), bounds, F.lit(0))
-    cut = df.withColumn("__part", part)
-    sizes = {r["__part"]: r["count"] for r in cut.groupBy("__part").count().collect()}
-    before, starts = 0, []
-    for p in range(len(bounds) + 1):
+    """``df`` with row numbers from 0 in the order of ``order``, of any orderable type; nulls come first, ties in any order.
+
+    The rows are dealt out by range and sorted once, and written to the shared folder, which fixes their places; only
+    the sizes of the ranges come to the driver.
+    """
+    spark = df.sparkSession
+    path, at = scratch(spark), "__at"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, F.col(order).asc()).sortWithinPartitions(order).withColumn(at, F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(StructType([*df.schema.fields]).add(at, "long")).parquet(path)
+    part = F.shiftright(F.col(at), 33).cast("int")
+    sizes = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}
+    starts, before = [], 0
+    for p in range(parts):
         starts.append(F.lit(before).cast("long"))
         before += sizes.get(p, 0)
-    w = Window.partitionBy("__part").orderBy(order)
-    return cut.withColumn(name, F.row_number().over(w) - 1 + F.get(F.array(*starts), F.col("__part"))).drop("__part")
+    return placed.withColumn(name, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.get(F.array(*starts), part)).drop(at)
 
 
 def preview(df: DataFrame, rows: int, order: str = "row_idx", fast: bool = False) -> tuple[list, list, int | None]:

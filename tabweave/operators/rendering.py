@@ -40,8 +40,15 @@ def quoted(text: Column, delimiter: str = ",", quote: str = '"') -> Column:
 
 
 def csv_lines(df: DataFrame, delimiter: str = ",", quote: str = '"') -> DataFrame:
-    """One column ``line`` of CSV records."""
-    return df.select(F.concat_ws(delimiter, *[quoted(field_text(f), delimiter, quote) for f in df.schema.fields]).alias("line"))
+    """One column ``line`` of CSV records. Numbers, booleans and dates are rendered once, as they need no quotes."""
+    plain = not set(delimiter + quote) & set("0123456789+-.:ETINafilnrstuey")
+
+    def field(f: T.StructField) -> Column:
+        text = field_text(f)
+        bare = plain and isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        return F.coalesce(text, F.lit("")) if bare else quoted(text, delimiter, quote)
+
+    return df.select(F.concat_ws(delimiter, *[field(f) for f in df.schema.fields]).alias("line"))
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', header: bool = True, line_end: str = "\r\n") -> None:

@@ -6,9 +6,7 @@ question, so that the operator's result can be compared.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import convert, infer, spec
 from ..functions.spec import ColumnSpec, RowSpec
 from ..operators import dataflow, rendering
+from ..sources import delimited
+from ..sources.shipping import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,22 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for written files that are read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file:{tempfile.gettempdir()}/tabweave"
-    path = f"{base.rstrip('/')}/{uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def text_raw(df: DataFrame, *order: str) -> DataFrame:
-    """A table rendered as text rows; row numbers only mark rows as data here, as nothing observes the order."""
-    return rendering.raw_rows(df, F.lit(1))
+def text_raw(df: DataFrame) -> DataFrame:
+    """A table written as CSV and scanned again by the splittable parser, as raw rows; row numbers only mark rows as data here."""
+    path = scratch(df.sparkSession)
+    rendering.write_csv(df, path)
+    text = delimited.scan_typed(df.sparkSession, path, df.columns)
+    return text.select(F.lit(1).cast("long").alias("row_idx"), F.array(*[convert.text_cell(F.col(f"`{c}`")) for c in df.columns]).alias("cells"))
 
 
 _LINEITEM = (
@@ -333,3 +323,45 @@ def sheet_listing(spark, sf_dir):
     path = f"{scratch(spark)}/book.xlsb"
     workbook.write([("first", r), ("second", r), ("third", r)], path, "__o", visibility={"second": "hidden", "third": "very_hidden"})
     return workbook.sheets(spark, path).select("index", "name", "visibility")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN s_acctbal ELSE -s_acctbal END AS n FROM supplier")
+def multi_file_headers(spark, sf_dir):
+    """Two files whose columns stand in different places, bound each by its own header."""
+    from ..sources import workbook
+
+    s = table(spark, sf_dir, "supplier").withColumn("__o", F.col("s_suppkey"))
+    path = scratch(spark)
+    workbook.write([("a", s.where("s_nationkey < 12").select("__o", "s_suppkey", F.col("s_acctbal").alias("n")))], f"{path}/a.xlsx", "__o")
+    workbook.write([("a", s.where("s_nationkey >= 12").select("__o", (-F.col("s_acctbal")).alias("n"), "s_name", "s_suppkey"))], f"{path}/b.xlsx", "__o")
+    return workbook.read_typed(spark, f"{path}/*.xlsx", RowSpec((ColumnSpec("s_suppkey", "int64"), ColumnSpec("n", "double"))))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def table_view_offset(spark, sf_dir):
+    """A named table that starts at D5, beside other cells, with a row of totals."""
+    from ..sources import workbook, xlsx
+    from ..sources.cells import Table
+    from ..sources.styles import Styles
+
+    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    cells = [(0, [("s", "title", None)]), (4, [("s", "x", None), None, None, ("s", "n_nationkey", None), ("s", "n_name", None), ("s", "beside", None)])]
+    cells += [(5 + i, [("s", "x", None), None, None, ("n", str(k), float(k)), ("s", name, None)]) for i, (k, name) in enumerate(rows)]
+    cells += [(5 + len(rows), [None, None, None, ("n", "999", 999.0), ("s", "total", None)])]
+    view = Table("Nations", 0, 4, 5 + len(rows), 3, 4, totals_rows=1, columns=("n_nationkey", "n_name"))
+    path = f"{scratch(spark)}/nation.xlsx"
+    workbook.store(spark, path, xlsx.package([{"name": "S", "fragments": [xlsx.row_xml(n, r) for n, r in cells], "tables": [view]}], Styles().xml()))
+    return workbook.read_typed(spark, path, RowSpec((ColumnSpec("n_nationkey", "int32"), ColumnSpec("n_name"))), table="nations")
+
+
+@query("SELECT r_regionkey, TIMESTAMP '1904-01-01' + to_days(CAST(r_regionkey * 1000 AS INTEGER)) AS d FROM region")
+def date1904_read(spark, sf_dir):
+    """Dates of a workbook of the 1904 date system, through the typed read."""
+    from ..sources import workbook, xlsx
+    from ..sources.styles import Styles
+
+    keys = [r["r_regionkey"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    cells = [(0, [("s", "r_regionkey", None), ("s", "d", None)])] + [(i + 1, [("n", str(k), float(k)), ("d", None, k * 1000.0)]) for i, k in enumerate(keys)]
+    path = f"{scratch(spark)}/dates.xlsx"
+    workbook.store(spark, path, xlsx.package([{"name": "S", "fragments": [xlsx.row_xml(n, r) for n, r in cells]}], Styles().xml(), date1904=True))
+    return workbook.read_typed(spark, path, RowSpec((ColumnSpec("r_regionkey", "int32"), ColumnSpec("d", "timestamp"))))

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tabweave.functions.spec import ColumnSpec, RowSpec, SpecError
 from tabweave.operators import dataflow, rendering
 from tabweave.sources import cfb, crypto, delimited, workbook, xls, xlsb, xlsx
 from tabweave.sources.cells import Limits, LimitExceeded, WorkbookError, is_date_format, rk
@@ -192,6 +193,9 @@ def test_dataflow(spark):
     assert text == list(range(1000))
     assert dataflow.fold(df.limit(0), "k", lambda: "seed", None, None) == "seed"
     assert [r["n"] for r in dataflow.numbered(df, "k", "n").orderBy("k").collect()] == list(range(1000))
+    words = spark.createDataFrame([("b",), (None,), ("a",), ("c",), ("b",)], "k string")
+    assert [(r["k"], r["n"]) for r in dataflow.numbered(words, "k", "n").orderBy("n").collect()] == [(None, 0), ("a", 1), ("b", 2), ("b", 3), ("c", 4)]
+    assert dataflow.numbered(df.limit(0), "k", "n").count() == 0
     assert [t.num_rows for t in dataflow.batches(df, 300)] == [300, 300, 300, 100]
     head, tail, total = dataflow.preview(df, 5, "k")
     assert [r["k"] for r in head] == [0, 1, 2] and [r["k"] for r in tail] == [998, 999] and total == 1000
@@ -223,3 +227,36 @@ def test_stream(spark, tmp_path):
     s = folds.typed_stream(spark, f"{tmp_path}/in", ["k", "v"], (ColumnSpec("k"), ColumnSpec("v", "int64")))
     folds.run_available(folds.group_fold(s, ["k"], "v"), f"{tmp_path}/cp", "folded")
     assert sorted(map(tuple, spark.table("folded").collect())) == [("a", 1, 1, 1, 1), ("b", 2, 2, 2, 1)]
+
+
+@pytest.mark.parametrize("kind", ["xlsx", "xlsb", "xls"])
+def test_dates_of_the_1904_system(spark, tmp_path, kind):
+    rows = [(0, [("s", "d", None)]), (1, [("d", None, 1.0)]), (2, [("d", None, 0.5)])]
+    if kind == "xlsx":
+        data = xlsx.package([{"name": "S", "fragments": [xlsx.row_xml(n, r) for n, r in rows]}], Styles().xml(), date1904=True)
+    elif kind == "xlsb":
+        data = xlsb.package([{"name": "S", "fragments": [xlsb.row_bytes(n, r) for n, r in rows]}], date1904=True)
+    else:
+        data = xls.workbook([{"name": "S", "rows": rows}], date1904=True)
+    (tmp_path / f"a.{kind}").write_bytes(data)
+    got = workbook.read_typed(spark, f"{tmp_path}/a.{kind}", RowSpec((ColumnSpec("d", "timestamp"),))).collect()
+    assert [str(r["d"]) for r in got] == ["1904-01-02 00:00:00", "1904-01-01 12:00:00"]
+
+
+def test_headers_of_several_files(spark, tmp_path):
+    def file(name, rows):
+        (tmp_path / name).write_bytes(build("xlsx", [[None if x is None else ("s", x, None) for x in r] for r in rows]))
+
+    file("1.xlsx", [["a", "b"], ["1", "2"]])
+    file("2.xlsx", [["b", None, "a"], ["4", None, "3"]])
+    file("3.xlsx", [["A"], ["5"]])
+    spec = RowSpec((ColumnSpec("a", "int32"), ColumnSpec("b", "int32", missing="null")))
+    assert sorted(map(str, (tuple(r) for r in workbook.read_typed(spark, f"{tmp_path}/*.xlsx", spec).collect()))) == ["(1, 2)", "(3, 4)", "(5, None)"]
+    with pytest.raises(SpecError, match="b"):
+        workbook.read_typed(spark, f"{tmp_path}/*.xlsx", RowSpec((ColumnSpec("b", "int32", required=True),)))
+
+
+def test_store_replaces_and_keeps(spark, tmp_path):
+    workbook.store(spark, f"{tmp_path}/f", b"one")
+    workbook.store(spark, f"{tmp_path}/f", b"two")
+    assert (tmp_path / "f").read_bytes() == b"two" and not (tmp_path / "f.old").exists() and not (tmp_path / "f.writing").exists()
