@@ -226,17 +226,20 @@ def offset_timestamp(cell: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Shortest text that gives the same double again, without a forced ``.0``; exponents as in E+16 from 1e15 on."""
-    plain = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("decimal(20,0)").cast("string"))
+    # most numbers take one of these two: integral ones, and those that the JVM writes without an exponent
+    size = F.abs(value)
+    whole, usual = (value == F.floor(value)) & (size < 1e15), (size >= 1e-3) & (size < 1e7)
     digits = F.regexp_replace(value.cast("string"), r"\.0$", "")
     mantissa, exponent = F.regexp_extract(digits, r"^(.*?)(?:\.0)?E", 1), F.regexp_extract(digits, r"E(.*)$", 1).try_cast("int")
     small = F.when((exponent < 0) & (exponent >= -5), value.cast("decimal(38,22)").cast("string"))
     small = F.regexp_replace(small, r"0+$", "")
     mid = F.when((exponent >= 0) & (exponent < 15), F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", ""))
     sign = F.when(exponent < 0, "E-").otherwise("E+")
-    size = F.abs(exponent).cast("string")
-    scientific = F.concat(mantissa, sign, F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
-    finite = F.coalesce(plain, F.when(~F.contains(digits, F.lit("E")), digits), small, mid, scientific)
-    return F.when(value.isNull(), None).when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity").otherwise(finite)
+    power = F.abs(exponent).cast("string")
+    scientific = F.concat(mantissa, sign, F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
+    finite = F.coalesce(F.when(~F.contains(digits, F.lit("E")), digits), small, mid, scientific)
+    common = F.when(value.isNull(), None).when(whole, value.cast("long").cast("string")).when(usual, value.cast("string"))
+    return common.when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == float("-inf"), "-Infinity").otherwise(finite)
 
 
 def string(cell: Column) -> Column:

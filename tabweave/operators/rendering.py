@@ -57,5 +57,5 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"',
     if header:
         names = df.sparkSession.range(1).select(F.concat_ws(delimiter, *[quoted(F.lit(c), delimiter, quote) for c in df.columns])).head()[0]
         first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
-        lines = lines.select(F.when(first, F.concat(F.lit(names + line_end), F.col("line"))).otherwise(F.col("line")).alias("line"))
+        lines = lines.select(F.concat(F.when(first, names + line_end).otherwise(""), F.col("line")).alias("line"))  # the line is named once
     lines.write.option("lineSep", line_end).text(path)
