@@ -2,17 +2,18 @@
 
     python -m tabweave.cli sheets FILE
     python -m tabweave.cli schema FILE [--sheet S] [--header-row N]
-    python -m tabweave.cli preview FILE [--sheet S] [--rows N] [--columns A,B] [--fast]
+    python -m tabweave.cli preview FILE [--sheet S] [--rows N] [--columns A,B] [--max-columns N] [--max-width N] [--fast]
     python -m tabweave.cli convert FILE TARGET [--sheet S]
 """
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import convert, infer
@@ -31,6 +32,18 @@ def _raw(spark: SparkSession, path: str, sheet: str | None, password: str | None
     return workbook.read_raw(spark, path, sheet, password=password), False
 
 
+def _encoded(lines: Iterable[str], size: int = 1 << 20) -> Iterator[bytes]:
+    """The lines in blocks of about ``size`` characters, so that no more are held."""
+    block, held = [], 0
+    for text in lines:
+        block.append(text + "\r\n")
+        held += len(text)
+        if held >= size:
+            yield "".join(block).encode()
+            block, held = [], 0
+    yield "".join(block).encode()
+
+
 def select_columns(names: Sequence[str | None], wanted: str | None) -> list[int]:
     """Columns by name first, then by number from 0."""
     if not wanted:
@@ -47,6 +60,29 @@ def select_columns(names: Sequence[str | None], wanted: str | None) -> list[int]
     return out
 
 
+def shown(cell: Column, kind: str) -> Column:
+    """A cell of a column of an inferred type as a preview shows it: dates in ISO form, whole floats with ``.0``."""
+    text = convert.string(cell)
+    at = convert.READERS["timestamp_serial"](cell)
+    stamp = F.when((F.lit(kind) != "timestamp") & (at == F.date_trunc("day", at)), at.cast("date").cast("string")).otherwise(at.cast("string"))
+    out = F.when(cell["type"] == "d", F.coalesce(stamp, text)).when(cell["type"] == "b", F.lower(text))
+    if kind == "float64":
+        out = out.when(cell["num"].isNotNull() & ~text.rlike("[.EeNI]"), F.concat(text, F.lit(".0")))
+    return F.coalesce(out.otherwise(text), F.lit(""))
+
+
+def elided(items: Sequence, most: int) -> list:
+    """``items``, or of more than ``most`` the first and last with a mark between them."""
+    if most <= 0 or len(items) <= most:
+        return list(items)
+    head = -(-most // 2)
+    return [*items[:head], "...", *items[len(items) - (most - head) :]]
+
+
+def fitted(text: str, width: int) -> str:
+    return text if width <= 0 or len(text) <= width else text[: max(width - 1, 0)] + "\u2026"
+
+
 def run(spark: SparkSession, argv: Sequence[str], out=sys.stdout) -> None:
     p = argparse.ArgumentParser(prog="tabweave")
     sub = p.add_subparsers(dest="command", required=True)
@@ -61,6 +97,8 @@ def run(spark: SparkSession, argv: Sequence[str], out=sys.stdout) -> None:
         if name == "preview":
             c.add_argument("--rows", type=int, default=10)
             c.add_argument("--columns")
+            c.add_argument("--max-columns", type=int, default=8)
+            c.add_argument("--max-width", type=int, default=32)
             c.add_argument("--fast", action="store_true")
     a = p.parse_args(argv)
     if a.command == "sheets":
@@ -76,15 +114,20 @@ def run(spark: SparkSession, argv: Sequence[str], out=sys.stdout) -> None:
     names = read_header(raw, a.header_row)
     if a.command == "preview":
         at = select_columns(names, a.columns)
-        data = raw.where(F.col("row_idx") >= a.header_row).select("row_idx", *[F.coalesce(convert.string(F.get("cells", F.lit(i))), F.lit("")).alias(f"c{i}") for i in at])
-        head, tail, total = dataflow.preview(data, a.rows, "row_idx", a.fast)
-        print("\t".join(names[i] or "" for i in at), file=out)
+        kinds = {r["index"]: r["type"] for r in infer.infer_schema(raw, a.header_row).collect()}
+        cells = [shown(F.get("cells", F.lit(i)), kinds.get(i, "string")).alias(f"c{i}") for i in at]
+        head, tail, total = dataflow.preview(raw.where(F.col("row_idx") >= a.header_row).select("row_idx", *cells), a.rows, "row_idx", a.fast)
+
+        def line(values: Sequence[str]) -> str:
+            return "\t".join(fitted(v, a.max_width) for v in elided(values, a.max_columns))
+
+        print(line([names[i] or "" for i in at]), file=out)
         for r in head:
-            print("\t".join(r[1:]), file=out)
+            print(line(r[1:]), file=out)
         if tail:
             print("...", file=out)
         for r in tail:
-            print("\t".join(r[1:]), file=out)
+            print(line(r[1:]), file=out)
         print(f"{'?' if total is None else total} rows", file=out)
         return
     typed = workbook.read_inferred(raw.select("row_idx", "cells"), a.header_row, parse_text=is_csv)
@@ -96,8 +139,8 @@ def run(spark: SparkSession, argv: Sequence[str], out=sys.stdout) -> None:
     df = ordered.select(F.col("row_idx").alias(order), *cols)
     if a.target.lower().endswith(".csv"):
         lines = df.orderBy(order).drop(order)
-        text = [",".join(schema)] + [r["line"] for r in rendering.csv_lines(lines).toLocalIterator()]
-        workbook.store(spark, a.target, ("\r\n".join(text) + "\r\n").encode())
+        records = rendering.csv_lines(lines).toLocalIterator()
+        workbook.store(spark, a.target, _encoded(itertools.chain([rendering.csv_header(spark, schema)], (r["line"] for r in records))))
     else:
         workbook.write([(a.sheet or "Sheet1", df)], a.target, order)
 

@@ -57,11 +57,10 @@ def for_each(df: DataFrame, action: Callable[[Any], None]) -> None:
 
 
 def batches(df: DataFrame, size: int = 0) -> Iterator[pa.Table]:
-    """Arrow tables of at most ``size`` rows (0: as they come), a partition at a time on the driver."""
+    """Arrow tables of at most ``size`` rows (0: as many as the session's Arrow batches), a partition at a time on the driver."""
     rows: list = []
     if size <= 0:
-        yield df.toArrow()
-        return
+        size = max(1, int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
     schema = df.limit(0).toArrow().schema
     for r in df.toLocalIterator(prefetchPartitions=True):
         rows.append(r.asDict())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,11 +53,15 @@ def csv_lines(df: DataFrame, delimiter: str = ",", quote: str = '"') -> DataFram
     return df.select(F.concat_ws(delimiter, *[field(f) for f in df.schema.fields]).alias("line"))
 
 
+def csv_header(spark: SparkSession, names: Sequence[str], delimiter: str = ",", quote: str = '"') -> str:
+    return spark.range(1).select(F.concat_ws(delimiter, *[quoted(F.lit(n), delimiter, quote) for n in names])).head()[0]
+
+
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', header: bool = True, line_end: str = "\r\n") -> None:
     """A folder of CSV files, in parallel, each with a header. Line ends inside of fields stay as they are."""
     lines = csv_lines(df, delimiter, quote)
     if header:
-        names = df.sparkSession.range(1).select(F.concat_ws(delimiter, *[quoted(F.lit(c), delimiter, quote) for c in df.columns])).head()[0]
+        names = csv_header(df.sparkSession, df.columns, delimiter, quote)
         first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
         lines = lines.select(F.concat(F.when(first, names + line_end).otherwise(""), F.col("line")).alias("line"))  # the line is named once
     lines.write.option("lineSep", line_end).text(path)

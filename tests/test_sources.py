@@ -197,6 +197,7 @@ def test_dataflow(spark):
     assert [(r["k"], r["n"]) for r in dataflow.numbered(words, "k", "n").orderBy("n").collect()] == [(None, 0), ("a", 1), ("b", 2), ("b", 3), ("c", 4)]
     assert dataflow.numbered(df.limit(0), "k", "n").count() == 0
     assert [t.num_rows for t in dataflow.batches(df, 300)] == [300, 300, 300, 100]
+    assert sum(t.num_rows for t in dataflow.batches(df)) == 1000
     head, tail, total = dataflow.preview(df, 5, "k")
     assert [r["k"] for r in head] == [0, 1, 2] and [r["k"] for r in tail] == [998, 999] and total == 1000
     assert dataflow.preview(df, 5, "k", fast=True)[2] is None
@@ -216,6 +217,15 @@ def test_cli(spark, tmp_path):
     told("convert", f"{tmp_path}/a.csv", f"{tmp_path}/a.xlsx")
     assert told("schema", f"{tmp_path}/a.xlsx") == "0\tid\tint64\n1\tname\tstring\n"
     assert told("sheets", f"{tmp_path}/a.xlsx") == "0\tSheet1\n"
+    told("convert", f"{tmp_path}/a.csv", f"{tmp_path}/b.csv")
+    assert (tmp_path / "b.csv").read_bytes() == b"id,name\r\n1,x\r\n2,y\r\n3,z\r\n"
+    day, noon = datetime.datetime(2024, 5, 6), datetime.datetime(2024, 5, 6, 12)
+    kinds = spark.createDataFrame([(1, day, noon, 2.0, True), (2, None, day, 2.5, False)], "n int, d timestamp_ntz, t timestamp_ntz, f double, b boolean")
+    workbook.write([("S", kinds.withColumn("row", F.col("n")))], f"{tmp_path}/k.xlsx", order="row")
+    body = told("preview", f"{tmp_path}/k.xlsx").splitlines()[1:3]
+    assert [r.split("\t") for r in body] == [["1", "2024-05-06", "2024-05-06 12:00:00", "2.0", "true"], ["2", "", "2024-05-06 00:00:00", "2.5", "false"]]
+    assert told("preview", f"{tmp_path}/k.xlsx", "--max-columns", "3", "--fast").splitlines()[0] == "n\td\t...\tb"
+    assert cli.fitted("abcdef", 4) == "abc\u2026"
 
 
 def test_stream(spark, tmp_path):
