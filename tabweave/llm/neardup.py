@@ -8,11 +8,14 @@
 4. Each bucket's hub is its member that shares most buckets; edges go from the hub to the other members
    only. They are confirmed on full sets: 100 * intersection >= 80 * union.
 5. Components of confirmed edges. Members of a bucket that are still in different components get a second pass: a
-   prefix index. Their shingles are put in one order, rare ones first; two sets that are similar enough share one
-   of the first fifth of the greater set's and the first ninth of the smaller's. Of the texts of one shingle only pairs
-   across components are made, and of its largest component no pairs among itself; sizes and places in the order
-   bound the intersection, and what is left is confirmed on full sets. So no link inside a bucket is lost, and texts that share
-   frequent shingles only (a page's template) are never paired.
+   prefix index of their differences from the bucket's hub. Two sets differ in as many shingles as their differences do.
+   If two members are similar enough but not both linked with the hub, their differences share shingles; in one order
+   of a hub's shingles, rare ones first, the first of these is among the first quarter (of the set's size) of the greater
+   difference and the first eighth of the smaller; a member of the hub's own component needs about half its difference
+   only, as its partner lies further from the hub. Of the members of one shingle only pairs across components are made,
+   and of its largest component no pairs among itself; sizes and places in the order bound what the differences share,
+   and what is left is confirmed on full sets. So no link inside a bucket is lost, while texts that share a template,
+   and those just too far from a large group of near copies to be linked with its hub, are hardly ever paired.
 
 Defined cases: null, empty or blank texts have an empty set: linked with nothing, kept, component their own
 doc_id. Fewer than 4 words: the whole sequence is the one shingle. Repeated rows share a class. A null doc_id
@@ -110,35 +113,62 @@ def _digest(s: Column) -> Column:
     return let(F.array_sort(s), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))
 
 
-#: A shingle of more sets than this has its frequency looked up; the others count as equally rare.
-FREQUENT = 64
+#: A shingle in the differences of more members of a hub than this has its frequency looked up; the others count as equally rare.
+FREQUENT = 8
+
+
+def _far(n: Column, m: Column, apart: Column) -> Column:
+    """Sets of such sizes that differ in so many shingles aren't similar enough."""
+    return (DEN + NUM) * apart > (DEN - NUM) * (n + m)
+
+
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with ``lacks`` and ``extra``, the numbers of shingles that only the hub or only the node has, and ``diff``, all these."""
+    both = members.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("s").alias("hs")), "hub")
+    both = both.withColumns({"l": F.array_except("hs", "s"), "e": F.array_except("s", "hs")})
+    return both.select(*members.columns, F.size("hs").alias("hn"), F.size("l").alias("lacks"), F.size("e").alias("extra"), F.concat("l", "e").alias("diff"))
 
 
 def _in_order(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, n, c, i, token): the first shingles of each set in the common order, as many as a greater partner needs."""
-    tokens = members.join(sets, "node").select("node", "n", "c", F.explode("s").alias("token"))
-    frequent = scratch.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > FREQUENT), "frequent")
-    ranked = tokens.join(small(frequent), "token", "left").groupBy("node", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token"))).alias("o"))
-    first = F.col("n") - F.ceil(F.col("n") * NUM / DEN - 1e-9) + 1
-    return scratch.write(ranked.select("node", "n", "c", F.posexplode(F.transform(F.slice("o", F.lit(1), first.cast("int")), lambda x: x["token"])).alias("i", "token")), "prefix")
+    """``members`` with a row for each of the first shingles of their difference in the hub's common order, rare ones first.
+
+    ``i``: the place, ``short``: the number of places that a partner of no smaller difference needs. ``d``: the difference's size.
+    """
+    diffs = scratch.write(_differences(members, sets).withColumn("d", F.col("lacks") + F.col("extra")), "differences")
+    tokens = diffs.select("hub", "node", F.explode("diff").alias("token"))
+    frequent = scratch.write(tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > FREQUENT), "frequent")
+    ranked = tokens.join(small(frequent), ["hub", "token"], "left").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token"))).alias("o"))
+    # similar sets differ in at most ``most``, as the partner has at most DEN / NUM times the size
+    most = F.floor(F.col("n") * (DEN - NUM) / NUM + 1e-9)
+    # a partner of a node of the hub's own component isn't linked with the hub: so many at least both differences share
+    home = F.floor((F.col("d") + (F.col("hn") - F.col("n")) * (DEN - NUM) / (DEN + NUM)) / 2 - 1e-9) + 1
+    limit = F.when(F.col("c") == F.col("ch"), F.col("d") - F.greatest(home, F.lit(1)) + 1).otherwise(F.col("d"))
+    long, short = F.least(limit, most + 1), F.least(limit, F.floor(most / 2) + 1)
+    lengths = diffs.select(*members.columns, "d", "lacks", "extra", long.cast("int").alias("long"), short.cast("int").alias("short")).where("long > 0")
+    first = F.posexplode(F.transform(F.slice("o", F.lit(1), F.col("long")), lambda x: x["token"])).alias("i", "token")
+    return scratch.write(lengths.join(ranked, ["hub", "node"]).select(*[c for c in lengths.columns if c != "long"], first), "prefix")
 
 
 def prefix_candidates(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(x, y, cx, cy): pairs of nodes of different components that may be similar enough. ``members``: (node, n, c); ``sets``: (node, s)."""
+    """(x, y, cx, cy): pairs of members of one hub and of different components that may be similar enough.
+
+    ``members``: (hub, ch, node, n, c), ``c`` and ``ch`` the components of node and hub after the stars; ``sets``: (node, s).
+    """
     prefix = _in_order(members, sets, scratch)
     # of each shingle, the component of most sets
-    by_token = prefix.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("cs"))
-    mixed = scratch.write(by_token.where("cs > 1").select("token", "top"), "mixed")
-    p = scratch.write(prefix.join(small(mixed), "token").withColumn("other", F.col("c") != F.col("top")).drop("top"), "places")
-    short = F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (DEN + NUM) - 1e-9) + 1
-    x, y = p.alias("x"), p.where(F.col("i") < short).alias("y")
-    rest = F.least("x.i", "y.i") + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    by_token = prefix.groupBy("hub", "token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("hub", "token").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("cs"))
+    mixed = scratch.write(by_token.where("cs > 1").select("hub", "token", "top"), "mixed")
+    p = scratch.write(prefix.join(small(mixed), ["hub", "token"]).withColumn("other", F.col("c") != F.col("top")).drop("top", "ch"), "places")
+    x, y = p.alias("x"), p.where(F.col("i") < F.col("short")).alias("y")
+    # at the first shingle that the two share, no more can be shared than what is left
+    rest = F.least(F.col("x.d") - F.col("x.i"), F.col("y.d") - F.col("y.i"))
+    signs = F.abs(F.col("x.lacks") - F.col("y.lacks")) + F.abs(F.col("x.extra") - F.col("y.extra"))
     fits = (
-        (F.col("x.token") == F.col("y.token"))
+        (F.col("x.hub") == F.col("y.hub"))
+        & (F.col("x.token") == F.col("y.token"))
         & (F.col("x.c") != F.col("y.c"))
-        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.node") < F.col("x.node"))))
-        & _size_fits(F.col("x.n"), F.col("y.n"))
-        & _similar(F.col("x.n"), F.col("y.n"), rest)
+        & ((F.col("y.d") < F.col("x.d")) | ((F.col("y.d") == F.col("x.d")) & (F.col("y.node") < F.col("x.node"))))
+        & ~_far(F.col("x.n"), F.col("y.n"), F.greatest(signs, F.col("x.d") + F.col("y.d") - 2 * rest))
     )
     out = [F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.c").alias("cx"), F.col("y.c").alias("cy")]
     pairs = x.where("x.other").join(y, fits).select(out).union(x.where("not x.other").join(y.where("y.other"), fits).select(out))
@@ -196,7 +226,9 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scra
     # second pass: spokes of one bucket in different components
     placed = spokes.join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    members = scratch.write(placed.join(split, "bucket", "left_semi").select("node", "n", "c").distinct(), "members")
+    members = placed.join(split, "bucket", "left_semi").select("hub", "node", "n", "c").distinct()
+    hub_of = found.select(F.col("node").alias("hub"), F.col("c").alias("ch"))
+    members = scratch.write(members.join(hub_of, "hub", "left").withColumn("ch", F.coalesce("ch", "hub")), "members")
     merged = scratch.write(connected_components(prefix_links(members, sets, scratch), scratch), "merged")
 
     nodes = classes.select("node", "n", "h", "rep").join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))

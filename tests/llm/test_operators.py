@@ -617,6 +617,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute.near_components(docs)
 
 
+def similar(a, b):
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def hub_members(sets, hubs, rng):
+    """(hub, ch, node, n, c) as the stars leave them: what is linked with a hub is of its component, some others share one too."""
+    root = {i: i for i in sets}
+    for h in hubs:
+        for i in sets:
+            if i != h and similar(sets[i], sets[h]):
+                old, new = root[i], root[h]
+                root = {k: new if v == old else v for k, v in root.items()}
+    loose = [i for i in sets if root[i] == i and i not in hubs]
+    for i, j in zip(loose[::7], loose[1::7]):
+        root[j] = i
+    return [(h, root[h], i, len(sets[i]), root[i]) for h in hubs for i in sets if i != h and rng.random() < 0.95]
+
+
+def candidates_of(spark, sets, members):
+    m = spark.createDataFrame(members, "hub long, ch long, node long, n long, c long")
+    s = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, s array<long>")
+    return neardup.prefix_candidates(m, s, Scratch(spark)).collect()
+
+
 def test_second_pass_against_brute_force(spark, monkeypatch):
     """Candidates miss no link, whatever the order of shingles; texts that share a template only aren't paired."""
     rng = random.Random(21)
@@ -625,14 +649,42 @@ def test_second_pass_against_brute_force(spark, monkeypatch):
     rows = [template + list(range(1000 + 50 * i, 1000 + 50 * i + rng.randint(15, 40))) for i in range(60)]  # similar by 0.56 to 0.77
     chain = rng.sample(range(20_000, 30_000), 60)
     rows += [chain[k : k + 40] for k in range(0, 20, 2)] + [template + list(range(200, 200 + k)) for k in range(5, 25)]
-    rows = [(i, sorted(set(r)), i // 3 if 60 <= i < 70 else i) for i, r in enumerate(rows)]
-    nodes = spark.createDataFrame(rows, "node long, s array<long>, c long").withColumn("n", F.size("s").cast("long"))
-    got = neardup.prefix_candidates(nodes.select("node", "n", "c"), nodes.select("node", "s"), Scratch(spark)).collect()
-    similar = {(i, j) for i, a, c in rows for j, b, d in rows if j < i and c != d and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})}
-    assert similar and similar <= {tuple(sorted((r["x"], r["y"]), reverse=True)) for r in got}
+    base = rng.sample(range(30_000, 40_000), 70)
+    for _ in range(120):  # subsets, supersets and edits of one base, at all distances from it
+        cut, more = rng.randint(0, 22), rng.choice([0, 0, rng.randint(0, 22)])
+        rows.append(rng.sample(base, 70 - cut) + rng.sample(range(50_000, 50_060), more))
+    sets = dict(enumerate(map(frozenset, rows)))
+    members = hub_members(sets, [3, 64, 75, 95, 110], rng)
+    by_hub = {}
+    for h, _, i, _, c in members:
+        by_hub.setdefault(h, []).append((i, c))
+    links = {(max(i, j), min(i, j)) for of in by_hub.values() for i, c in of for j, d in of if i < j and c != d and similar(sets[i], sets[j])}
+    got = candidates_of(spark, sets, members)
+    assert len(links) > 100 and links <= {(max(r["x"], r["y"]), min(r["x"], r["y"])) for r in got}
     assert not any(r["x"] < 60 and r["y"] < 60 for r in got)
 
 
+def test_second_pass_beside_a_large_group(spark):
+    """Texts just too far from a group of near copies aren't paired with all its members: pairs grow with the texts."""
+    counts = []
+    for size in (150, 600):
+        rng = random.Random(5)
+        base = list(range(147))
+        own = iter(range(1000, 10**6))
+
+        def edited(words):
+            s = base[:]
+            for at in rng.sample(range(144), words):
+                for k in range(4):  # a word changed changes four shingles
+                    s[at + k if at + k < 147 else at] = next(own)
+            return frozenset(s)
+
+        sets = {0: frozenset(base)} | {i: edited(rng.randint(1, 3)) for i in range(1, size)} | {i: edited(rng.randint(5, 9)) for i in range(size, 2 * size)}
+        members = [(0, 0, i, len(s), 0 if similar(s, sets[0]) else i) for i, s in sets.items() if i]
+        counts.append(len(candidates_of(spark, sets, members)))
+    assert counts[1] <= 4 * max(counts[0], 100)
+
+
 def test_near_duplicate_cases(spark, odd, empty):
     rows = neardup.components(odd).collect()
     assert len(rows) == odd.count()
