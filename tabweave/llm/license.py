@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, let, plain_words
+from .common import PLAIN_GAP, let, plain_words
 
 # The base phrases and their labels.
 BASE = (
@@ -86,7 +86,7 @@ SHARE = 0.5
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(PLAIN_WORD, text.lower())
+    return [w for w in re.split(PLAIN_GAP, text.lower()) if w]
 
 
 def _key_start(words: list[str], key: list[str]) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabweave.llm import components, decontam, langid, linededup, neardup, packing, qualityclf, qualityrules, queries, sharding, urlfilter
 from tabweave.llm import license as licenses
-from tabweave.llm.common import Scratch
+from tabweave.llm.common import Scratch, plain_words
 
 from ..compare import assert_same, database
 from ..conftest import SF
@@ -433,6 +433,15 @@ def test_contamination_against_brute_force(spark):
     assert clean.columns == ["doc_id", "text", "HIT"] and clean.count() == sum(not r["contaminated"] for r in got)
 
 
+def test_plain_words_against_brute_force(spark):
+    """Any characters, gaps first, last and alone."""
+    rng = random.Random(8)
+    marks = [chr(c) for c in range(128)] + ["é", "É", "İ", "ß", "\u0080", "\u00a0", "\u2028", "\ufeff", "漢", "🙂"]
+    texts = ["", " ", "..", "a", " a", "a ", None] + marks + ["".join(rng.choices(marks, k=rng.randint(1, 60))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", plain_words(F.col("t")).alias("w"))
+    assert {r["i"]: r["w"] for r in df.collect()} == {i: brute.plain(t) for i, t in enumerate(texts)}
+
+
 def test_contamination_cases(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.apply(odd, none).count() == odd.count()
