@@ -126,10 +126,11 @@ def typed(cell: Column, c: ColumnSpec, row_number: Column, throw: bool, blank: C
     return F.coalesce(value, F.lit(c.default)) if c.missing == "default" else value
 
 
-def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = (), text_only: bool = False) -> DataFrame:
+def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = (), text_only: bool = False, headers: DataFrame | None = None) -> DataFrame:
     """Typed rows of ``raw`` (row_idx from 0, cells: a dense array of cell structs), header row and rows before it left out.
 
     ``header``: the header's texts; read from ``raw`` if not given, of each file by itself where ``raw`` has a ``path``.
+    ``headers``: raw rows to read them from instead, which spares a scan of all of ``raw``.
     Blank records (no cells, or empty ones only) are skipped. ``text_only``: all cells are text, as in delimited
     files; the plan then drops what only other cells need.
     """
@@ -137,11 +138,12 @@ def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = N
     if spec.indexed or header is not None:
         places = bind(header or (), spec)
     else:
-        found = read_headers(raw, spec.header_row)
+        headers = raw if headers is None else headers
+        found = read_headers(headers, spec.header_row)
         bound = [(h, bind(h, spec)) for h in found]
         places = bound[0][1]
         if "path" in raw.columns and any(b != places for _, b in bound):
-            raw, place = _with_places(raw, spec, bound)
+            raw, place = _with_places(raw, headers, spec, bound)
     data = raw if spec.indexed else raw.where(F.col("row_idx") >= spec.header_row)
     data = data.where(F.exists("cells", lambda c: c.isNotNull()))
     out = [F.col(k) for k in keep]
@@ -162,13 +164,13 @@ def _header_texts(raw: DataFrame, header_row: int) -> DataFrame:
     return raw.where(F.col("row_idx") == header_row - 1).withColumn("header_texts", F.transform("cells", convert.string))
 
 
-def _with_places(raw: DataFrame, spec: RowSpec, bound: list[tuple[list, dict[str, int]]]) -> tuple[DataFrame, str]:
+def _with_places(raw: DataFrame, headers: DataFrame, spec: RowSpec, bound: list[tuple[list, dict[str, int]]]) -> tuple[DataFrame, str]:
     """``raw`` with each file's cell numbers of the spec's columns, and the name of that column. A file without a header row is an error."""
     name = "__places"
     rows = [(h, [b.get(c.name) for c in spec.columns]) for h, b in bound]
     known = raw.sparkSession.createDataFrame(rows, f"known array<string>, {name} array<int>")
-    headers = _header_texts(raw, spec.header_row).select(F.col("path").alias("__file"), "header_texts")
-    files = headers.join(F.broadcast(known), F.col("header_texts").eqNullSafe(F.col("known"))).select("__file", name)
+    texts = _header_texts(headers, spec.header_row).select(F.col("path").alias("__file"), "header_texts")
+    files = texts.join(F.broadcast(known), F.col("header_texts").eqNullSafe(F.col("known"))).select("__file", name)
     lost = F.raise_error(F.concat(F.col("path"), F.lit(f" has fewer than {spec.header_row} rows; cannot resolve the header row"))).cast("array<int>")
     return raw.join(files, F.col("path") == F.col("__file"), "left").drop("__file").withColumn(name, F.coalesce(name, lost)), name
 

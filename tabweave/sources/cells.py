@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 #: (type, text, num): types as in ``tabweave.functions.convert``; an empty cell is None.
 Cell = tuple[str, str | None, float | None]
@@ -121,6 +122,7 @@ def rk(value: int) -> float:
     return number / 100 if value & 1 else number
 
 
+@cache
 def column_name(index: int) -> str:
     out = ""
     index += 1

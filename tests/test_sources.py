@@ -270,3 +270,47 @@ def test_store_replaces_and_keeps(spark, tmp_path):
     workbook.store(spark, f"{tmp_path}/f", b"one")
     workbook.store(spark, f"{tmp_path}/f", b"two")
     assert (tmp_path / "f").read_bytes() == b"two" and not (tmp_path / "f.old").exists() and not (tmp_path / "f.writing").exists()
+
+
+def _orders(spark, folder, rows):
+    """A folder with a table ``orders`` of ``rows`` rows, nearly all of them of a key only, and its frame."""
+    some = lambda x: F.when(F.col("id") % 1000 == 0, x)
+    df = spark.range(rows).select(
+        F.col("id").alias("o_orderkey"), some(F.col("id") % 7).alias("o_custkey"), some(F.lit("F")).alias("o_orderstatus"), some(F.col("id") / 4).alias("o_totalprice"),
+        some(F.lit(datetime.datetime(2024, 5, 6, 12)).cast("timestamp_ntz")).alias("o_orderdate"), some(F.lit("5-LOW")).alias("o_orderpriority"),
+    )
+    df.write.parquet(f"{folder}/orders.parquet")
+    return df
+
+
+def _same(a, b):
+    digest = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)"))).first()
+    assert digest(a) == digest(b.select(*a.columns))
+
+
+@pytest.mark.parametrize("kind", ["xlsx"])
+def test_query_takes_more_rows_than_a_sheet(spark, tmp_path, kind):
+    from tabweave.plans import registry
+
+    df = _orders(spark, tmp_path, 1_048_600)
+    _same(registry.QUERIES[f"{kind}_roundtrip"](spark, str(tmp_path)), df)
+
+
+@pytest.mark.parametrize("kind", ["xlsx", "xlsb", "xls"])
+def test_parts(spark, tmp_path, kind):
+    df = spark.createDataFrame([(i, f"n{i}", None if i % 3 else i / 2) for i in range(100)], "o int, name string, x double")
+    spec = RowSpec((ColumnSpec("name"), ColumnSpec("x", "double")))
+    workbook.write_parts(df, f"{tmp_path}/p", "o", "S", kind, rows=7)
+    files = sorted((tmp_path / "p").glob(f"*.{kind}"))
+    assert len(files) >= 15 and not (tmp_path / "p.writing").exists()
+    books = [[r[0][1] for _, r in workbook.open_workbook(f.read_bytes()).read(0)] for f in files]
+    assert all(b[0] == "name" and len(b) <= 8 for b in books)
+    assert [n for b in books for n in b[1:]] == [f"n{i}" for i in range(100)]
+    got = workbook.read_typed(spark, f"{tmp_path}/p/*", spec).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((tuple(r)[1:] for r in df.collect()), key=repr)
+    workbook.write_parts(df.limit(0), f"{tmp_path}/none", "o", "S", kind)
+    assert workbook.read_typed(spark, f"{tmp_path}/none/*", spec).count() == 0
+    with pytest.raises(FileExistsError):
+        workbook.write_parts(df, f"{tmp_path}/p", "o", "S", kind)
+    with pytest.raises(WorkbookError, match="rows"):
+        workbook.write_parts(df, f"{tmp_path}/q", "o", "S", kind, rows=1_048_576)
