@@ -295,7 +295,7 @@ def xlsx_roundtrip(spark, sf_dir):
 
 @query(_ORDERS_SQL)
 def xlsb_roundtrip(spark, sf_dir):
-    return _workbook_roundtrip(spark, sf_dir, "xlsb", "orders", "o_orderkey", _ORDERS)
+    return _parts_roundtrip(spark, sf_dir, "xlsb", "orders", "o_orderkey", _ORDERS)
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -288,7 +288,7 @@ def _same(a, b):
     assert digest(a) == digest(b.select(*a.columns))
 
 
-@pytest.mark.parametrize("kind", ["xlsx"])
+@pytest.mark.parametrize("kind", ["xlsx", "xlsb"])
 def test_query_takes_more_rows_than_a_sheet(spark, tmp_path, kind):
     from tabweave.plans import registry
 
