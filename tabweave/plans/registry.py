@@ -259,15 +259,6 @@ def preview_head_tail(spark, sf_dir):
     return spark.createDataFrame(rows, "part string, n_nationkey int, n_name string, total long")
 
 
-def _workbook_roundtrip(spark, sf_dir, file_format, name, order, specs):
-    from ..sources import workbook
-
-    df = table(spark, sf_dir, name)
-    path = f"{scratch(spark)}/{name}.{file_format}"
-    workbook.write([(name, df.withColumn("__order", F.col(order)))], path, "__order", file_format)
-    return workbook.read_typed(spark, path, RowSpec(specs))
-
-
 def _parts_roundtrip(spark, sf_dir, file_format, name, order, specs):
     """A table as a folder of workbooks, for it may have more rows than a sheet."""
     from ..sources import workbook
@@ -301,7 +292,7 @@ def xlsb_roundtrip(spark, sf_dir):
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def xls_roundtrip(spark, sf_dir):
     cols = (ColumnSpec("c_custkey", "int64"), ColumnSpec("c_name"), ColumnSpec("c_nationkey", "int32"), ColumnSpec("c_acctbal", "double"), ColumnSpec("c_mktsegment"))
-    return _workbook_roundtrip(spark, sf_dir, "xls", "customer", "c_custkey", cols)
+    return _parts_roundtrip(spark, sf_dir, "xls", "customer", "c_custkey", cols)
 
 
 @query("SELECT s_name, s_acctbal FROM supplier")

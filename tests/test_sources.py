@@ -296,6 +296,14 @@ def test_query_takes_more_rows_than_a_sheet(spark, tmp_path, kind):
     _same(registry.QUERIES[f"{kind}_roundtrip"](spark, str(tmp_path)), df)
 
 
+def test_xls_query_takes_more_rows_than_a_sheet(spark, tmp_path):
+    from tabweave.plans import registry
+
+    df = spark.range(65_600).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), (F.col("id") / 4).alias("c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"))
+    df.write.parquet(f"{tmp_path}/customer.parquet")
+    _same(registry.QUERIES["xls_roundtrip"](spark, str(tmp_path)), df)
+
+
 @pytest.mark.parametrize("kind", ["xlsx", "xlsb", "xls"])
 def test_parts(spark, tmp_path, kind):
     df = spark.createDataFrame([(i, f"n{i}", None if i % 3 else i / 2) for i in range(100)], "o int, name string, x double")
