@@ -126,12 +126,12 @@ def typed(cell: Column, c: ColumnSpec, row_number: Column, throw: bool, blank: C
     return F.coalesce(value, F.lit(c.default)) if c.missing == "default" else value
 
 
-def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = (), text_only: bool = False, headers: DataFrame | None = None) -> DataFrame:
+def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = None, keep: Sequence[str] = (), text_only: bool = False, headers: DataFrame | None = None, keep_blank: bool = False) -> DataFrame:
     """Typed rows of ``raw`` (row_idx from 0, cells: a dense array of cell structs), header row and rows before it left out.
 
     ``header``: the header's texts; read from ``raw`` if not given, of each file by itself where ``raw`` has a ``path``.
     ``headers``: raw rows to read them from instead, which spares a scan of all of ``raw``.
-    Blank records (no cells, or empty ones only) are skipped. ``text_only``: all cells are text, as in delimited
+    Blank records (no cells, or empty ones only) are skipped, unless ``keep_blank`` takes them as rows. ``text_only``: all cells are text, as in delimited
     files; the plan then drops what only other cells need.
     """
     place = None
@@ -145,7 +145,8 @@ def apply(raw: DataFrame, spec: RowSpec, header: Sequence[str | None] | None = N
         if "path" in raw.columns and any(b != places for _, b in bound):
             raw, place = _with_places(raw, headers, spec, bound)
     data = raw if spec.indexed else raw.where(F.col("row_idx") >= spec.header_row)
-    data = data.where(F.exists("cells", lambda c: c.isNotNull()))
+    if not keep_blank:
+        data = data.where(F.exists("cells", lambda c: c.isNotNull()))
     out = [F.col(k) for k in keep]
     for i, c in enumerate(spec.columns):
         if place is not None:

@@ -36,8 +36,8 @@ def raw_rows(df: DataFrame, row_idx: Column, keep: tuple[str, ...] = ()) -> Data
 
 
 def quoted(text: Column, delimiter: str = ",", quote: str = '"') -> Column:
-    """A field as written: quoted only if it holds the delimiter, the quote or a line end."""
-    special = F.contains(text, F.lit(delimiter)) | F.contains(text, F.lit(quote)) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
+    """A field as written: quoted only if it holds the delimiter, the quote or a line end, or is the empty text, which a null isn't."""
+    special = (text == "") | F.contains(text, F.lit(delimiter)) | F.contains(text, F.lit(quote)) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
     return F.when(special, F.concat(F.lit(quote), F.replace(text, F.lit(quote), F.lit(quote * 2)), F.lit(quote))).otherwise(F.coalesce(text, F.lit("")))
 
 
@@ -57,11 +57,15 @@ def csv_header(spark: SparkSession, names: Sequence[str], delimiter: str = ",",
     return spark.range(1).select(F.concat_ws(delimiter, *[quoted(F.lit(n), delimiter, quote) for n in names])).head()[0]
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', header: bool = True, line_end: str = "\r\n") -> None:
-    """A folder of CSV files, in parallel, each with a header. Line ends inside of fields stay as they are."""
+def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', header: bool = True, line_end: str = "\r\n", rows: int = 0) -> None:
+    """A folder of CSV files, in parallel, each with a header. Line ends inside of fields stay as they are.
+
+    ``rows``: a file's most, for readers that take whole files; 0: a file for each partition.
+    """
     lines = csv_lines(df, delimiter, quote)
     if header:
         names = csv_header(df.sparkSession, df.columns, delimiter, quote)
-        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in its partition
+        first = (place % rows if rows else place) == 0
         lines = lines.select(F.concat(F.when(first, names + line_end).otherwise(""), F.col("line")).alias("line"))  # the line is named once
-    lines.write.option("lineSep", line_end).text(path)
+    lines.write.option("lineSep", line_end).option("maxRecordsPerFile", rows).text(path)

@@ -211,14 +211,17 @@ def infer_schema_text(spark, sf_dir):
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_roundtrip_documents(spark, sf_dir):
-    """Whole documents, with their line ends, quotes and commas, through written CSV files and the exact scan."""
+    """Whole documents, with their line ends, quotes and commas, empty texts and nulls, through written CSV files and the exact scan.
+
+    The scan takes whole files, so they are written with few rows each.
+    """
     from ..sources import delimited
 
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     path = scratch(spark)
-    rendering.write_csv(d, path, header=False)
+    rendering.write_csv(d, path, header=False, rows=4_000)
     cols = (ColumnSpec("doc_id", "int64", index=0), ColumnSpec("text", index=1), ColumnSpec("lang", index=2), ColumnSpec("source", index=3), ColumnSpec("n_chars", "int64", index=4))
-    return spec.apply(delimited.scan_raw(spark, path), RowSpec(cols), text_only=True)
+    return spec.apply(delimited.scan_raw(spark, path, keep_empty=True), RowSpec(cols), text_only=True, keep_blank=True)
 
 
 @query("SELECT * FROM (VALUES (';', '\"')) t(delimiter, quote)")

@@ -2,6 +2,7 @@ import csv
 import datetime
 import io
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -322,3 +323,27 @@ def test_parts(spark, tmp_path, kind):
         workbook.write_parts(df, f"{tmp_path}/p", "o", "S", kind)
     with pytest.raises(WorkbookError, match="rows"):
         workbook.write_parts(df, f"{tmp_path}/q", "o", "S", kind, rows=1_048_576)
+
+
+def test_csv_query_keeps_empty_texts_nulls_and_blank_rows(spark, tmp_path):
+    from tabweave.plans import registry
+
+    from .compare import assert_same
+
+    odd = ["", None, " ", '"', '""', "\r", "a\r\nb", ",", "\ufeff", "\x00", "\x85", "\u2028", 'x"y', "NULL", "tail\n"]
+    rows = [(i, t, odd[-i], odd[i * 7 % len(odd)], None if i % 2 else i) for i, t in enumerate(odd)] + [(None, None, None, None, None), (None, "", "", "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(registry.QUERIES["csv_roundtrip_documents"](spark, str(tmp_path)), registry.SQL["csv_roundtrip_documents"], db)
+
+
+def test_csv_files_of_few_rows(spark, tmp_path):
+    rendering.write_csv(spark.range(10).coalesce(1), f"{tmp_path}/c", rows=4)
+    assert sorted(f.read_bytes() for f in (tmp_path / "c").glob("*.txt")) == [b"id\r\n0\r\n1\r\n2\r\n3\r\n", b"id\r\n4\r\n5\r\n6\r\n7\r\n", b"id\r\n8\r\n9\r\n"]
+
+
+def test_csv_records_with_empty_fields():
+    assert list(delimited.records('"",,""\r\n\r\n""\r\n,', bare=None)) == [["", None, ""], [None], [""], [None, None]]
+    assert list(delimited.records('"",,""')) == [["", "", ""]]
